@@ -45,7 +45,7 @@ class Settings:
     percent: int = 80
     trees: int = 16
     depth: int = 3
-    region: int = 16
+    region: int = 6
     #: Pairs whose signatures agree less than this are not confirmed: over four standard deviations below the limit.
     floor: float = 0.55
     seed: int = 5
