@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, sample_order, text_bytes, tune
+from .common import fold, lean, materialize, sample_order, text_bytes, tune
 
 UNKNOWN, END = 0, 1
 
@@ -61,7 +61,7 @@ class Settings:
     rate: float = 0.004
     seed: int = 3
     #: Bytes of text that go through the network side by side.
-    batch_bytes: int = 16 << 20
+    batch_bytes: int = 10 << 20
     scoring_window: int = 32
 
 
@@ -133,6 +133,15 @@ class Network:
 
     size: int
     weights: dict[str, np.ndarray]
+    bounded: bool = False
+
+    def bound(self) -> None:
+        """States lie within -1 and 1; where no exponential can then overflow, scoring leaves out the guard."""
+        w = self.weights
+        most = max(np.abs(w["class_w"]).sum(0).max(), np.abs(w["word_w"]).sum(1).max())
+        highest = max(w["class_b"].max(), w["word_b"].max())
+        lowest = min(w["class_b"].max(), w["word_b"].max(1).min())
+        self.bounded = bool(most + highest < 60 and most - lowest < 60)
 
     @classmethod
     def fresh(cls, symbol_counts: np.ndarray, s: Settings) -> Network:
@@ -175,7 +184,8 @@ class Network:
         group, place = targets // self.size, targets % self.size
         at = np.arange(len(targets))
         logits = h @ w["class_w"] + w["class_b"]
-        logits -= logits.max(1, keepdims=True)
+        if not self.bounded:
+            logits -= logits.max(1, keepdims=True)
         e = np.exp(logits)
         total = e.sum(1)
         out = logits[at, group] - np.log(total)
@@ -194,7 +204,8 @@ class Network:
             g = int(group[part[0]])
             hp = h[part]
             logits = hp @ w["word_w"][g] + w["word_b"][g]
-            logits -= logits.max(1, keepdims=True)
+            if not self.bounded:
+                logits -= logits.max(1, keepdims=True)
             e = np.exp(logits)
             total = e.sum(1)
             own = np.arange(len(part))
@@ -297,6 +308,7 @@ class Model:
             if len(self.head) > n:
                 spelt[n:-1] = self.spelt(self.head_counts[n:], self.spelling.log10(self.head[n:]))
             base = np.append(np.log10(self.head_counts + s.smoothing), 0.0)
+            self.network.bound()
             self.ready = {"index": _Index(zip(self.head, range(len(self.head)))), "ids": ids, "inputs": inputs, "spelt": spelt, "base": base, "symbols": symbols}
         return self
 
@@ -329,7 +341,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                 seen = Counter()
         yield _pairs(seen)
 
-    return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(lean(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _pairs(seen: Counter) -> pa.RecordBatch:
@@ -357,6 +369,7 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> tuple[Model, DataFrame]:
     sample = allowed.where(F.octet_length("text") <= s.sample_bytes).join(F.broadcast(ids), "doc_id").select("doc_id", F.col("text").cast("binary").alias("text")).toArrow()
     texts = sorted(zip(sample.column("doc_id").to_pylist(), sample.column("text").to_pylist()))
     model.prepare()
+    network.bounded = False  # while weights change
     inputs, targets = [], []
     for _, text in texts:
         if sum(map(len, targets)) >= s.sample_tokens:
@@ -367,6 +380,7 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> tuple[Model, DataFrame]:
     if targets:
         model.losses = train(network, np.concatenate(inputs), np.concatenate(targets), s)
     model.ready = {}
+    network.bounded = False
     return model, counts
 
 
@@ -389,29 +403,26 @@ def sequence(text: bytes, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def network_scores(network: Network, sequences: list[tuple[np.ndarray, np.ndarray]], window: int) -> np.ndarray:
     """log10 p of each sequence of symbols, the state carried from window to window."""
-    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i][1]))
-    sizes = np.array([len(sequences[i][1]) for i in order])
+    order = np.argsort([-len(t) for _, t in sequences], kind="stable")
+    sizes = np.array([len(sequences[i][1]) for i in order], np.int64)
     shorter = -sizes  # ascending
+    first = np.cumsum(sizes) - sizes
+    every_in = np.concatenate([sequences[i][0] for i in order]) if len(order) else np.empty(0, np.int32)
+    every_out = np.concatenate([sequences[i][1] for i in order]) if len(order) else np.empty(0, np.int32)
     out = np.zeros(len(order))
     n = network.weights["fresh"].shape[0]
     h = np.zeros((len(order), n), np.float32)
     for start in range(0, int(sizes[0]) if len(sizes) else 0, window):
-        lanes = int((sizes > start).sum())
         width = min(window, int(sizes[0]) - start)
-        ins, outs = np.zeros((width, lanes), np.int32), np.zeros((width, lanes), np.int32)
-        for lane in range(lanes):
-            i, t = sequences[order[lane]]
-            ins[: len(t) - start, lane] = i[start : start + width]
-            outs[: len(t) - start, lane] = t[start : start + width]
-        states, owners, targets = [], [], []
-        for t in range(width):
-            alive = int(np.searchsorted(shorter, -(start + t), side="left"))
-            h[:alive] = network.step(ins[t, :alive], h[:alive])[0]
-            states.append(h[:alive].copy())
-            owners.append(np.arange(alive))
-            targets.append(outs[t, :alive])
-        owners = np.concatenate(owners)
-        states, targets = np.concatenate(states), np.concatenate(targets)
+        alive = [int(np.searchsorted(shorter, -(start + t), side="left")) for t in range(width)]
+        ends = np.cumsum(alive)
+        states, targets, owners = np.empty((ends[-1], n), np.float32), np.empty(ends[-1], np.int32), np.empty(ends[-1], np.int32)
+        for t, (lanes, end) in enumerate(zip(alive, ends)):
+            at = first[:lanes] + (start + t)
+            h[:lanes] = network.step(every_in[at], h[:lanes])[0]
+            states[end - lanes : end] = h[:lanes]
+            targets[end - lanes : end] = every_out[at]
+            owners[end - lanes : end] = np.arange(lanes)
         for lo in range(0, len(targets), 16_384):
             lp = network.log_probs(states[lo : lo + 16_384], targets[lo : lo + 16_384])[0]
             out += np.bincount(owners[lo : lo + 16_384], lp, len(order))
@@ -475,7 +486,7 @@ def score_parts(docs: DataFrame, model: Model) -> DataFrame:
         if ids:
             yield flush()
 
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, tail array<struct<word: binary, times: long, spelling: double>>")
+    return rows.mapInArrow(lean(run), f"row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, tail array<struct<word: binary, times: long, spelling: double>>")
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
