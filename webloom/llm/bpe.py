@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tune
+from .common import lean, tune
 
 #: Texts beyond this many characters are cut.
 PIECE_CHARS = 50_000
@@ -76,7 +76,7 @@ def encode(df: DataFrame, text_col: str, ids_col: str, rank_file: str, pattern:
             ids = [np.array(encode_text(encoding, x or ""), np.int32) for x in batch.column(at).to_pylist()]
             yield _with_column(batch, ids_col, _lists(ids))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, ids_col: str, out_col: str, rank_file: str, pattern: str) -> DataFrame:
@@ -91,7 +91,7 @@ def decode(df: DataFrame, ids_col: str, out_col: str, rank_file: str, pattern: s
             out = [encoding.decode_bytes(x or []) for x in batch.column(at).to_pylist()]
             yield _with_column(batch, out_col, pa.array(out, pa.binary()))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, sample_order, tune
+from .common import fold, lean, sample_order, tune
 
 # Code-point ranges of scripts; the last that fits counts.
 SCRIPTS = (
@@ -154,7 +154,7 @@ def viterbi(emissions: np.ndarray, switch: float) -> np.ndarray:
 class Labeller:
     """Word scores of a worker, kept between batches up to a bounded number."""
 
-    def __init__(self, model: Model, keep: int = 400_000):
+    def __init__(self, model: Model, keep: int = 100_000):
         self.model, self.keep = model, keep
         self.index: dict[bytes, int] = {}
         self.scores = np.empty((0, len(model.langs)))
@@ -227,7 +227,7 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
             n = np.concatenate([counts[at], scripts[lang][1:]])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(every)), pa.array(every), pa.array(n)], ["lang", "bucket", "n"])
 
-    found = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = sample.mapInArrow(lean(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((1 << s.bits, len(langs)))
     scripts = np.zeros((OTHER + 1, len(langs)))
     number = {lang: i for i, lang in enumerate(langs)}
@@ -264,5 +264,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<first: int, end: int, lang: string>>")
+    out = rows.mapInArrow(lean(run), f"doc_id {kind}, lang_pred string, score double, spans array<struct<first: int, end: int, lang: string>>")
     return out.withColumn("held_out", fold(F.col("doc_id"), s.folds) == s.held_out_fold)

@@ -31,9 +31,9 @@ from .common import WORD_PATTERN, materialize
 #: Two-level sums: buckets of about so many rows, groups of so many buckets.
 BUCKET_ROWS = 2048
 GROUP_BUCKETS = 1024
-SLOT_CHUNK = 65_536
+SLOT_CHUNK = 16_384
 #: Rounds of the swap-or-not permutation.
-ROUNDS = 16
+ROUNDS = 10
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ class Settings:
     shard_slots: int = 4096
 
 
-def permuted(x: Column, n: Column, *seed: Column) -> Column:
+def permuted(x: Column, n: Column, key: Column) -> Column:
     """The place of ``x`` in a pseudorandom permutation of 0 .. n-1 (swap-or-not).
 
     Each round pairs x with its mirror image under a random point and swaps the
@@ -55,8 +55,8 @@ def permuted(x: Column, n: Column, *seed: Column) -> Column:
     """
 
     def one(at: Column, r: Column) -> Column:
-        mirror = F.pmod(F.xxhash64(*seed, r) - at, n)
-        coin = F.xxhash64(*seed, r, F.greatest(at, mirror)).bitwiseAND(F.lit(1)) == 1
+        mirror = F.pmod(F.xxhash64(key, r) - at, n)
+        coin = F.xxhash64(key, r, F.greatest(at, mirror)).bitwiseAND(F.lit(1)) == 1
         return F.when(coin, mirror).otherwise(at)
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), x.cast("long"), one)
@@ -121,7 +121,7 @@ def with_offsets(rows: DataFrame) -> DataFrame:
     sums = sums.withColumn("within", F.coalesce(F.sum("words").over(up_to(["skey", "group"], ["bucket"])), F.lit(0)))
     sums = sums.join(groups, ["skey", "group"]).select("skey", "bucket", (F.col("within") + F.col("before_group")).alias("before"))
     own = F.coalesce(F.sum("size").over(up_to(["skey", "bucket"], ["fp", "doc_id", "size"])), F.lit(0))
-    rows = rows.withColumn("own", own).join(sums, ["skey", "bucket"])
+    rows = rows.withColumn("own", own).join(sums.hint("merge"), ["skey", "bucket"])
     return rows.withColumn("offset", F.col("own") + F.col("before")).drop("bucket", "own", "before")
 
 
@@ -131,10 +131,11 @@ def mix_slots(targets: DataFrame, s: Settings = Settings()) -> DataFrame:
     chunks = targets.where("slots > 0").select("skey", "blocks", "slots", "first_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOT_CHUNK))).alias("chunk"))
     first = F.col("chunk") * SLOT_CHUNK
     last = F.least(F.col("slots"), first + SLOT_CHUNK) - 1
-    slots = chunks.repartition("skey", "chunk").select("skey", "blocks", "first_slot", F.explode(F.sequence(first, last)).alias("slot"))
-    turn = F.floor(F.col("slot") / F.col("blocks"))
-    number = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("skey"), turn)
-    place = permuted(F.col("first_slot") + F.col("slot"), F.lit(max(total, 1)).cast("long"), F.lit("shards"))
+    tasks = max(1, min(total // SLOT_CHUNK, 4 * targets.sparkSession.sparkContext.defaultParallelism, 10_000))
+    slots = chunks.repartition(tasks, "skey", "chunk").select("skey", "blocks", "first_slot", F.explode(F.sequence(first, last)).alias("slot"))
+    slots = slots.withColumn("key", F.xxhash64("skey", F.floor(F.col("slot") / F.col("blocks"))))
+    number = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("key"))
+    place = permuted(F.col("first_slot") + F.col("slot"), F.lit(max(total, 1)).cast("long"), F.xxhash64(F.lit("shards")))
     slots = slots.select("skey", number.alias("number"), place.alias("place"))
     return slots.select("skey", "number", F.floor(F.col("place") / s.shard_slots).alias("shard"), (F.col("place") % s.shard_slots).alias("position"))
 
@@ -148,7 +149,8 @@ def block_parts(placed: DataFrame, targets: DataFrame, slots: DataFrame) -> Data
     stop = F.least((F.col("number") + 1) * block, end) - offset
     parts = parts.withColumns({"start": start, "stop": stop})
     times = slots.groupBy("skey", "number").agg(F.count("*").alias("times"))
-    return parts.join(times, ["skey", "number"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    # Compressed sizes say little here, so no side may turn into a broadcast.
+    return parts.join(times.hint("merge"), ["skey", "number"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
 
 def mix_counts(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -178,7 +180,7 @@ def mix_pieces(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     runs = parts.withColumn("run", run).groupBy("fp", "offset", "size", "copy", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     runs = runs.groupBy("fp").agg(F.collect_list(F.struct("start", "stop", "size")).alias("__runs"))
     texts = docs.withColumn("__fp", fingerprint(docs)).dropDuplicates(["__fp"])
-    joined = texts.join(runs.withColumnRenamed("fp", "__fp"), "__fp")
+    joined = texts.join(runs.withColumnRenamed("fp", "__fp").hint("merge"), "__fp")
     joined = joined.withColumn("__words", F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD_PATTERN), F.lit(0)))
     joined = joined.withColumn("__run", F.explode("__runs"))
     piece = F.array_join(F.slice("__words", (F.col("__run.start") + 1).cast("int"), (F.col("__run.stop") - F.col("__run.start")).cast("int")), "")

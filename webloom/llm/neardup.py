@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_bytes, tune
+from .common import lean, materialize, text_bytes, tune
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,7 @@ class WordHash(dict):
     """64-bit hashes of words, kept up to a bounded number."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -115,7 +115,7 @@ def sketches(docs: DataFrame, s: Settings) -> DataFrame:
                 signatures.append(minhash(found, flips, factors).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "n", "set_key", "signature"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n long, set_key binary, signature binary")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, n long, set_key binary, signature binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
@@ -131,7 +131,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
             keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in found]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["set_key", "shingles"])
 
-    found = rows.mapInArrow(run, "set_key binary, shingles binary")
+    found = rows.mapInArrow(lean(run), "set_key binary, shingles binary")
     return found.join(wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
 
 
@@ -182,7 +182,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
                 keep.append(100 * both >= s.percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, "a binary, b binary")
+    return joined.mapInArrow(lean(run), "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, sample_order, text_bytes, tune
+from .common import fold, lean, materialize, sample_order, text_bytes, tune
 
 
 @dataclass(frozen=True)
@@ -141,7 +141,7 @@ def _measured(rows: DataFrame, good: bytes, bad: bytes, level: int) -> DataFrame
             found = measure(text_bytes(batch.column(1)), good, bad, level)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(found), pa.list_(pa.float64()))], ["doc_id", "quality", "features"])
 
-    return rows.mapInArrow(run, "doc_id long, quality int, features array<double>")
+    return rows.mapInArrow(lean(run), "doc_id long, quality int, features array<double>")
 
 
 def score_texts(texts: list[bytes], model: Model) -> np.ndarray:
@@ -164,7 +164,7 @@ def score(docs: DataFrame, model: Model, settings: Settings = Settings()) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, score double").select(
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, score double").select(
         "doc_id",
         (fold(F.col("doc_id"), settings.folds) == settings.held_out_fold).alias("held_out"),
         "score",

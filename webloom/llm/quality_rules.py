@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, materialize, tune
+from .common import ASCII_SPACE, lean, materialize, tune
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -90,7 +90,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
             columns = [pa.array([x[i] for x in found], pa.int64()) for i in range(len(COUNTS))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "source", *COUNTS])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def with_rules(counts: DataFrame, rules: Rules) -> DataFrame:

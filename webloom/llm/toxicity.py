@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, sample_order, tune
+from .common import fold, lean, materialize, sample_order, tune
 
 
 @dataclass(frozen=True)
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
         columns = [at, level + 1, seen[1, level, at], seen[0, level, at]]
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["bucket", "level", "p", "u"])
 
-    counts = sample.select("text", "positive").coalesce(8).mapInArrow(count, "bucket long, level long, p long, u long")
+    counts = sample.select("text", "positive").coalesce(8).mapInArrow(lean(count), "bucket long, level long, p long, u long")
     counts = counts.groupBy("bucket", "level").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     in_p, in_u = F.col("p") / n_pos, (F.col("u") + 0.5) / n_unl
     gain = F.col("p") * F.log(in_p / in_u)
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "positive", "features"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    rows = sample.select("doc_id", "text", "positive").mapInArrow(extract, f"doc_id {kind}, positive int, features array<int>")
+    rows = sample.select("doc_id", "text", "positive").mapInArrow(lean(extract), f"doc_id {kind}, positive int, features array<int>")
     rows = rows.orderBy("positive", "doc_id").toArrow()
     x = np.zeros((rows.num_rows, len(buckets)), np.uint8)
     for i, found in enumerate(rows.column("features").to_pylist()):
@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, score double").select(
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, score double").select(
         "doc_id",
         (fold(F.col("doc_id"), s.folds) == s.held_out_fold).alias("held_out"),
         "score",

@@ -36,7 +36,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, tune
+from .common import fresh_path, lean, materialize, tune
 
 # Fixed values of the WARC format.
 VERSION = b"WARC/1.1"
@@ -224,7 +224,7 @@ def write_archive(pages: DataFrame, folder: str, s: Settings = Settings()) -> Da
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "file", "bytes", "records", "sha1"])
 
-    written = rows.mapInArrow(run, "shard long, file string, bytes long, records long, sha1 string")
+    written = rows.mapInArrow(lean(run), "shard long, file string, bytes long, records long, sha1 string")
     files = materialize(written, "warc-files")
     sums = files.agg(F.count("*"), F.sum("bytes"), F.sum("records")).first()
     write_whole(fs, f"{root}/manifest.json", json.dumps({"files": sums[0], "bytes": sums[1] or 0, "records": sums[2] or 0}).encode())
@@ -258,7 +258,7 @@ def read_archive(spark: SparkSession, folder: str, files: DataFrame) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
-    return files.select("file").repartition("file").mapInArrow(run, schema)
+    return files.select("file").repartition("file").mapInArrow(lean(run), schema)
 
 
 def iterate_records(raw) -> Iterator[tuple | None]:
