@@ -154,8 +154,8 @@ def write_whole(fs: pafs.FileSystem, path: str, data: bytes) -> None:
     fs.move(temporary, path)
 
 
-def shard_column(rows: DataFrame, s: Settings) -> Column:
-    """The shard of ``page_id``: ids are cut where the payload bytes before them pass a multiple of the shard size.
+def shard_column(rows: DataFrame, s: Settings) -> tuple[Column, int]:
+    """The shard of ``page_id``, and how many there are: ids are cut where the payload bytes before them pass a multiple of the shard size.
 
     Sums are kept per range of page ids, added up in two levels; only the first
     page id of each shard comes to the driver.
@@ -163,7 +163,7 @@ def shard_column(rows: DataFrame, s: Settings) -> Column:
     spark = rows.sparkSession
     total = rows.agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"), F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
     if total.low is None:
-        return F.lit(0).cast("long")
+        return F.lit(0).cast("long"), 1
     shard_bytes = min(max(s.shard_bytes_low, (total.bytes or 0) // 4096), s.shard_bytes_high)
     width = max(1, (total.high - total.low + 1) * 64 // total.n)
     number = F.floor((F.col("page_id") - total.low) / width)
@@ -182,7 +182,7 @@ def shard_column(rows: DataFrame, s: Settings) -> Column:
     def shard_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(edges.value, ids.to_numpy(np.int64), side="right"))
 
-    return shard_of(F.coalesce("page_id", F.lit(total.low)))
+    return shard_of(F.coalesce("page_id", F.lit(total.low))), len(firsts)
 
 
 def write_archive(pages: DataFrame, folder: str, s: Settings = Settings()) -> DataFrame:
@@ -195,13 +195,15 @@ def write_archive(pages: DataFrame, folder: str, s: Settings = Settings()) -> Da
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("n_bytes", F.length("payload").cast("long"))
-    # Payloads that stand alone need no partner; those that do not are few against the pages.
-    repeated = rows.groupBy("digest", "n_bytes").agg(F.count("*").alias("times"), F.max("page_id").alias("newest")).where("times > 1").drop("times")
-    rows = rows.join(repeated, ["digest", "n_bytes"], "left")
-    sizes = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
-    rows = rows.withColumn("shard", shard_column(sizes, s))
-    rows = rows.repartition("shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", F.col("url").asc_nulls_first())
-    rows = rows.select("shard", "page_id", "digest", "newest", "url", "payload")
+    narrow = rows.select("page_id", "digest", "n_bytes")
+    shard, shards = shard_column(narrow, s)
+    repeated = narrow.groupBy("digest", "n_bytes").agg(F.count("*").alias("times"), F.max("page_id").alias("newest")).where("times > 1").drop("times")
+    notes = narrow.join(repeated.hint("merge"), ["digest", "n_bytes"]).select("page_id", "digest", "newest").distinct()
+    # Notes on repeated payloads travel beside the pages and come before them, so that payloads are shuffled once.
+    notes = notes.select(shard.alias("shard"), "page_id", "digest", F.lit(0).alias("order"), "newest", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
+    whole = rows.select(shard.alias("shard"), "page_id", "digest", F.lit(1).alias("order"), F.lit(None).cast("long").alias("newest"), "url", "payload")
+    rows = notes.union(whole).repartition(min(shards, 20_000), "shard")
+    rows = rows.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "order", F.col("url").asc_nulls_first())
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
 
@@ -209,15 +211,19 @@ def write_archive(pages: DataFrame, folder: str, s: Settings = Settings()) -> Da
         fs, root = pafs.FileSystem.from_uri(folder)
         done: list[tuple] = []
         writer, last, again = None, None, 0
+        note, newest = None, None
         for batch in batches:
-            for shard, page_id, digest, newest, url, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, page_id, digest, order, latest, url, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if writer is None or writer.shard != shard:
                     done += [(writer.shard, f) for f in writer.commit()] if writer else []
-                    writer, last = ShardWriter(fs, root, shard, s), None
+                    writer, last, note = ShardWriter(fs, root, shard, s), None, None
+                if not order:
+                    note, newest = (page_id, digest), latest
+                    continue
                 again = again + 1 if last == (page_id, digest) else 0
                 last = (page_id, digest)
-                alone = newest == page_id or (newest is None and page_id is not None)
-                refers_to = None if alone and not again else (newest if newest is not None else page_id,)
+                alone = note != last or newest == page_id  # newest: None only where no row of the payload has an id
+                refers_to = None if alone and not again else (newest if note == last else page_id,)
                 writer.add(build_record(page_id, url, data, refers_to, again, s.date))
         done += [(writer.shard, f) for f in writer.commit()] if writer else []
         columns = [[x[0] for x in done], *([x[1][k] for x in done] for k in ("file", "bytes", "records", "sha1"))]
