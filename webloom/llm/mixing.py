@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize
+from .common import WORD_PATTERN, free_prefix, materialize
 
 #: Two-level sums: buckets of about so many rows, groups of so many buckets.
 BUCKET_ROWS = 2048
@@ -178,14 +178,16 @@ def mix_pieces(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     parts = parts.select("fp", "offset", "size", "number", "start", "stop", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
     run = F.col("number") - F.row_number().over(Window.partitionBy("fp", "offset", "copy").orderBy("number"))
     runs = parts.withColumn("run", run).groupBy("fp", "offset", "size", "copy", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    runs = runs.groupBy("fp").agg(F.collect_list(F.struct("start", "stop", "size")).alias("__runs"))
-    texts = docs.withColumn("__fp", fingerprint(docs)).dropDuplicates(["__fp"])
-    joined = texts.join(runs.withColumnRenamed("fp", "__fp").hint("merge"), "__fp")
-    joined = joined.withColumn("__words", F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD_PATTERN), F.lit(0)))
-    joined = joined.withColumn("__run", F.explode("__runs"))
-    piece = F.array_join(F.slice("__words", (F.col("__run.start") + 1).cast("int"), (F.col("__run.stop") - F.col("__run.start")).cast("int")), "")
-    whole = (F.col("__run.start") == 0) & (F.col("__run.stop") == F.col("__run.size"))
-    joined = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(piece))
+    own = free_prefix(docs)
+    fp, run, words = f"{own}fp", f"{own}run", f"{own}words"
+    runs = runs.groupBy(F.col("fp").alias(fp)).agg(F.collect_list(F.struct("start", "stop", "size")).alias(f"{own}runs"))
+    texts = docs.withColumn(fp, fingerprint(docs)).dropDuplicates([fp])
+    joined = texts.join(runs.hint("merge"), fp)
+    joined = joined.withColumn(words, F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD_PATTERN), F.lit(0)))
+    joined = joined.withColumn(run, F.explode(f"{own}runs"))
+    start, stop = F.col(f"{run}.start"), F.col(f"{run}.stop")
+    piece = F.array_join(F.slice(words, (start + 1).cast("int"), (stop - start).cast("int")), "")
+    joined = joined.withColumn("text", F.when((start == 0) & (stop == F.col(f"{run}.size")), F.col("text")).otherwise(piece))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
