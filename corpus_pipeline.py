@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import bpe, langid, mixing, neardup, quality_rules
-from webloom.llm.common import materialize, read_table
+from webloom.llm.common import free_prefix, materialize, read_table
 from webloom.llm.queries import RANK_FILE
 
 
 def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The documents whose id is in ``wanted`` (doc_id); a null id is an id too."""
-    ids = wanted.select(F.col("doc_id").alias("__wanted")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__wanted")), "left_semi")
+    name = f"{free_prefix(docs)}wanted"
+    ids = wanted.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
