@@ -24,6 +24,7 @@ none; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,6 +49,10 @@ class Settings:
     region: int = 6
     #: Pairs whose signatures agree less than this are not confirmed: over four standard deviations below the limit.
     floor: float = 0.55
+    #: In large regions of so many trees, classes outside the region's main component meet all others,
+    #: where that makes at most so many pairs; where it makes more, in the deeper regions below.
+    crowd_trees: int = 6
+    crowd_pairs: int = 20_000
     seed: int = 5
 
     @property
@@ -135,8 +140,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     return found.join(wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
 
 
-def candidates(classes: DataFrame, s: Settings) -> DataFrame:
-    """(a, b, votes): pairs of classes, a < b, with the number of regions that name them."""
+def candidates(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(a, b, votes): pairs of classes, a < b, with the number of regions that name them.
+
+    And (set_key, region): the larger regions of the first trees, at every depth.
+    """
     twice = F.concat("signature", "signature")
     prefix = lambda tree, depth: F.xxhash64(tree, F.substring(F.col("twice"), tree * (4 * s.depth) + F.lit(1), F.lit(4 * depth)))
     rows = classes.select("set_key", twice.alias("twice"))
@@ -146,6 +154,7 @@ def candidates(classes: DataFrame, s: Settings) -> DataFrame:
     while depths[-1] < s.values:
         depths.append(min(s.values, max(depths[-1] + 1, depths[-1] * 5 // 4)))
     pairs: list[DataFrame] = []
+    crowds: list[DataFrame] = []
     for level, depth in enumerate(depths):
         regions = active.groupBy("region").agg(F.count("*").alias("n"), F.min("set_key").alias("first")).where("n > 1")
         placed = materialize(active.join(regions, "region"), "forest")
@@ -155,6 +164,7 @@ def candidates(classes: DataFrame, s: Settings) -> DataFrame:
         later = small.select(F.posexplode("near").alias("at", "a"), "near").select("a", F.explode(F.slice(F.col("near"), F.col("at") + 2, F.lit(s.region))).alias("b"))
         pairs.append(later)
         large = placed.where(F.col("n") > s.region)
+        crowds.append(large.where(F.col("tree") < s.crowd_trees).select("set_key", "region"))
         if level + 1 == len(depths) or large.isEmpty():
             break
         deeper = large.select("set_key", "tree").join(rows, "set_key")
@@ -162,7 +172,7 @@ def candidates(classes: DataFrame, s: Settings) -> DataFrame:
     out = pairs[0]
     for more in pairs[1:]:
         out = out.union(more)
-    return out.groupBy("a", "b").agg(F.count("*").alias("votes"))
+    return out.groupBy("a", "b").agg(F.count("*").alias("votes")), functools.reduce(DataFrame.union, crowds)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -215,11 +225,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     found = materialize(sketches(docs, s), "sketches")
     named = found.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("signature").alias("signature"))
     classes = materialize(named, "classes")
-    pairs = materialize(candidates(classes, s), "pairs")
-    if pairs.isEmpty():
-        links = None
-    else:
-        links = linked(docs, classes, pairs, s)
+    pairs, crowds = candidates(classes, s)
+    pairs = materialize(pairs, "pairs")
+    links = None if pairs.isEmpty() else linked(docs, classes, pairs, crowds, s)
     if links is None:
         labels = classes.select("set_key", F.col("doc_id").alias("component_id"))
     else:
@@ -233,14 +241,34 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
+def crowd_pairs(crowds: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): classes of a large region against those of its other components.
+
+    The region's main component stays out on one side, so a region that is
+    linked up already makes no pairs, however large it is.
+    """
+    rows = crowds.join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    rows = materialize(rows, "crowds")
+    sums = rows.groupBy("region", "root").agg(F.count("*").alias("n")).groupBy("region").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    sums = sums.where((F.col("all") > F.col("most")) & ((F.col("all") - F.col("most")) * F.col("all") <= s.crowd_pairs))
+    open_rows = rows.join(sums.select("region", "main"), "region")
+    few = open_rows.where("root != main").select("region", F.col("set_key").alias("x"), F.col("root").alias("x_root"))
+    met = few.join(open_rows.select("region", F.col("set_key").alias("y"), "root"), "region").where("x_root != root")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, crowds: DataFrame, s: Settings) -> DataFrame:
     """Confirmed links that connect all classes that candidates can connect."""
     same = "1.0 * aggregate(zip_with(sa, sb, (x, y) -> int(x = y)), 0, (n, x) -> n + x)"
     values = F.transform(F.sequence(F.lit(0), F.lit(s.values - 1)), lambda i: F.substring(F.col("signature"), i * 4 + 1, F.lit(4)))
     signed = classes.select("set_key", values.alias("values"))
-    close = pairs.join(signed.select(F.col("set_key").alias("b"), F.col("values").alias("sb")), "b")
-    close = close.join(signed.select(F.col("set_key").alias("a"), F.col("values").alias("sa")), "a")
-    close = materialize(close.where(F.expr(same) >= s.floor * s.values).select("a", "b", "votes"), "close")
+
+    def alike(found: DataFrame) -> DataFrame:
+        out = found.join(signed.select(F.col("set_key").alias("b"), F.col("values").alias("sb")), "b")
+        out = out.join(signed.select(F.col("set_key").alias("a"), F.col("values").alias("sa")), "a")
+        return out.where(F.expr(same) >= s.floor * s.values).drop("sa", "sb")
+
+    close = materialize(alike(pairs).select("a", "b", "votes"), "close")
     nodes = close.select(F.col("a").alias("set_key")).union(close.select("b")).distinct()
     wanted = materialize(classes.select("set_key", "doc_id").join(nodes, "set_key", "left_semi"), "wanted")
     sets = materialize(full_sets(docs, wanted, s), "sets")
@@ -253,4 +281,10 @@ def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, s: Settings) -
     for side in ("a", "b"):
         rest = rest.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
     rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    return links.union(materialize(confirm(rest, sets, s), "more-links"))
+    links = links.union(materialize(confirm(rest, sets, s), "more-links"))
+    # Last what large regions hold beside their main component, against all of the region.
+    late = materialize(alike(crowd_pairs(crowds, components(links), s)), "crowd-pairs")
+    missing = late.select(F.col("a").alias("set_key")).union(late.select("b")).distinct().join(nodes, "set_key", "left_anti")
+    extra = materialize(classes.select("set_key", "doc_id").join(missing, "set_key", "left_semi"), "extra")
+    sets = sets.union(materialize(full_sets(docs, extra, s), "extra-sets"))
+    return links.union(materialize(confirm(late, sets, s), "crowd-links"))
