@@ -60,10 +60,13 @@ def build_dictionary(texts: list[bytes], settings: Settings) -> bytes:
     """A trained dictionary; of few texts, their own bytes serve as one."""
     n = settings.sample_bytes
     pieces = [x[i : i + n] for x in texts for i in range(0, len(x), n)]
+    raw = b"\n".join(p[: n // 8] for p in pieces)[-settings.dictionary_bytes :] or b"\n" * 8
     try:
-        return zstandard.train_dictionary(settings.dictionary_bytes, pieces).as_bytes()
+        book = zstandard.train_dictionary(settings.dictionary_bytes, pieces, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b"\n".join(texts)[-settings.dictionary_bytes :] or b"\n" * 8
+        return raw
+    # Training gives up early on some texts; their own bytes then say more than a short dictionary.
+    return book if 2 * len(book) > min(settings.dictionary_bytes, len(raw)) else raw
 
 
 @lru_cache(maxsize=4)
@@ -88,25 +91,35 @@ def measure(texts: list[bytes], good: bytes, bad: bytes, level: int) -> np.ndarr
     return np.stack([diff, left, size, diff * diff, left * left, size * size, diff * left, diff * size, left * size], 1)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Newton steps on the ridge-penalised likelihood; (centre, scale, weights with the intercept last)."""
     centre, scale = x.mean(0), x.std(0) + 1e-9
     z = np.concatenate([(x - centre) / scale, np.ones((len(x), 1))], 1)
     w = np.zeros(z.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
+
+    def cost(w: np.ndarray) -> float:
+        t = z @ w
+        return float(np.logaddexp(0, t).sum() - y @ t + 0.5 * (penalty * w * w).sum())
+
+    now = cost(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         hessian = (z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty) + 1e-9 * np.eye(len(w))
         step = np.linalg.solve(hessian, z.T @ (y - p) - penalty * w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        size = 1.0
+        while (new := cost(w + size * step)) > now and size > 1e-6:  # a full step may overshoot
+            size /= 2
+        if new >= now - 1e-9:
             break
+        w, now = w + size * step, new
     return centre, scale, w
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Learn from labelled rows outside the held-out fold."""
+    tune(docs.sparkSession)
     allowed = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), settings.folds) != settings.held_out_fold))
     allowed = allowed.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     by_part = F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id")), F.lit(2))
