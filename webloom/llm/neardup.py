@@ -6,9 +6,9 @@ the signature read from another place on.  Classes whose orders agree on a
 prefix form a region: regions start at a common prefix of ``depth`` values and,
 where they hold more than ``region`` classes, grow deeper prefixes until they do
 not.  Candidates are a class and the region's first one at every depth, and the
-neighbours within a small region.  A first round confirms each class's most
-frequent partner on the full sets; later rounds confirm those remaining pairs
-whose classes are not linked yet.  Connected classes take the smallest doc_id.
+neighbours within a small region, confirmed on the full sets.  Classes that large
+regions hold beside their main component then meet the rest of the region,
+behind a finer sketch.  Connected classes take the smallest doc_id.
 
 No region is ever collected beyond ``region`` classes: larger ones are only
 counted, and deepened.  Regions that stay large to the last value of the
@@ -25,13 +25,14 @@ none; an empty table gives an empty table.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, materialize, text_bytes, tune
@@ -49,16 +50,24 @@ class Settings:
     region: int = 6
     #: Pairs whose signatures agree less than this are not confirmed: over four standard deviations below the limit.
     floor: float = 0.55
-    #: In large regions of so many trees, classes outside the region's main component meet all others,
-    #: where that makes at most so many pairs; where it makes more, in the deeper regions below.
-    crowd_trees: int = 6
+    #: In large regions, classes outside the region's main component meet all others, where that makes
+    #: at most so many pairs; where it makes more, in the deeper regions below.  So many trees at a time.
     crowd_pairs: int = 20_000
+    crowd_trees: int = 8
+    #: There pairs are compared by so many one-bit MinHash values first, 64 to a word, and
+    #: confirmed where they differ in no more than a pair at the limit does, four standard deviations included.
+    fine_words: int = 8
     seed: int = 5
 
     @property
     def values(self) -> int:
         return self.trees * self.depth
 
+    @property
+    def fine_limit(self) -> int:
+        n, differ = 64 * self.fine_words, (1 - self.percent / 100) / 2
+        return math.ceil(n * differ + 4 * math.sqrt(n * differ * (1 - differ)))
+
 
 class WordHash(dict):
     """64-bit hashes of words, kept up to a bounded number."""
@@ -141,9 +150,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
 
 
 def candidates(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(a, b, votes): pairs of classes, a < b, with the number of regions that name them.
+    """(a, b): pairs of classes, a < b.
 
-    And (set_key, region): the larger regions of the first trees, at every depth.
+    And (set_key, tree, depth, region): the larger regions, at every depth.
     """
     twice = F.concat("signature", "signature")
     prefix = lambda tree, depth: F.xxhash64(tree, F.substring(F.col("twice"), tree * (4 * s.depth) + F.lit(1), F.lit(4 * depth)))
@@ -164,7 +173,7 @@ def candidates(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
         later = small.select(F.posexplode("near").alias("at", "a"), "near").select("a", F.explode(F.slice(F.col("near"), F.col("at") + 2, F.lit(s.region))).alias("b"))
         pairs.append(later)
         large = placed.where(F.col("n") > s.region)
-        crowds.append(large.where(F.col("tree") < s.crowd_trees).select("set_key", "region"))
+        crowds.append(large.select("set_key", "tree", F.lit(depth).alias("depth"), "region"))
         if level + 1 == len(depths) or large.isEmpty():
             break
         deeper = large.select("set_key", "tree").join(rows, "set_key")
@@ -172,7 +181,7 @@ def candidates(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     out = pairs[0]
     for more in pairs[1:]:
         out = out.union(more)
-    return out.groupBy("a", "b").agg(F.count("*").alias("votes")), functools.reduce(DataFrame.union, crowds)
+    return out.distinct(), functools.reduce(DataFrame.union, crowds)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -227,11 +236,10 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     classes = materialize(named, "classes")
     pairs, crowds = candidates(classes, s)
     pairs = materialize(pairs, "pairs")
-    links = None if pairs.isEmpty() else linked(docs, classes, pairs, crowds, s)
-    if links is None:
+    nodes = None if pairs.isEmpty() else linked(docs, classes, pairs, crowds, s)
+    if nodes is None:
         labels = classes.select("set_key", F.col("doc_id").alias("component_id"))
     else:
-        nodes = components(links)
         ids = classes.select("set_key", "doc_id").join(nodes.withColumnRenamed("node", "set_key"), "set_key", "left")
         ids = materialize(ids.withColumn("root", F.coalesce("root", "set_key")), "roots")
         least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -241,50 +249,76 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def crowd_pairs(crowds: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
-    """(a, b): classes of a large region against those of its other components.
+def fine_sketches(sets: DataFrame, s: Settings) -> DataFrame:
+    """(set_key, bits): the lowest bits of further MinHash values, as words of 64."""
 
-    The region's main component stays out on one side, so a region that is
-    linked up already makes no pairs, however large it is.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(s.seed + 1)
+        n = 64 * s.fine_words
+        flips = rng.integers(0, 1 << 32, n, dtype=np.uint32)
+        factors = rng.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1)
+        for batch in batches:
+            bits = [np.packbits((minhash(np.frombuffer(x, np.uint64), flips, factors) & np.uint32(1)).astype(np.uint8)).view(np.int64) for x in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.list_(pa.int64()))], ["set_key", "bits"])
+
+    return sets.select("set_key", "shingles").mapInArrow(lean(run), "set_key binary, bits array<bigint>")
+
+
+def crowd_members(crowds: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``crowds`` with their component's root; and per region that holds several components:
+    its main one, that one's classes and all classes."""
     rows = crowds.join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     rows = materialize(rows, "crowds")
-    sums = rows.groupBy("region", "root").agg(F.count("*").alias("n")).groupBy("region").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
-    sums = sums.where((F.col("all") > F.col("most")) & ((F.col("all") - F.col("most")) * F.col("all") <= s.crowd_pairs))
-    open_rows = rows.join(sums.select("region", "main"), "region")
-    few = open_rows.where("root != main").select("region", F.col("set_key").alias("x"), F.col("root").alias("x_root"))
-    met = few.join(open_rows.select("region", F.col("set_key").alias("y"), "root"), "region").where("x_root != root")
+    sums = rows.groupBy("region", "root").agg(F.count("*").alias("n"))
+    sums = sums.groupBy("region").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    return rows, sums.where("all > most")
+
+
+def crowd_pairs(crowds: DataFrame, roots: DataFrame, fine: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): classes of a large region against those of its other components, as far as their sketches agree.
+
+    The region's main component stays out on one side, so a region that is
+    linked up already makes no pairs, however large it is.  Of nested regions
+    within the limit, the outermost names all pairs of the others.
+    """
+    rows, sums = crowd_members(crowds, roots)
+    sums = sums.where((F.col("all") - F.col("most")) * F.col("all") <= s.crowd_pairs)
+    held = rows.join(sums.select("region", "main"), "region")
+    outer = held.groupBy("set_key", "tree").agg(F.min_by(F.struct("region", "main", "root"), "depth").alias("o"))
+    outer = materialize(outer.select("set_key", "o.*").join(fine, "set_key"), "open-crowds")
+    few = outer.where("root != main").select("region", F.col("set_key").alias("x"), F.col("root").alias("x_root"), F.col("bits").alias("of_x"))
+    differ = functools.reduce(Column.__add__, (F.bit_count(F.col("of_x")[i].bitwiseXOR(F.col("bits")[i])) for i in range(s.fine_words)))
+    met = few.join(outer.withColumnRenamed("set_key", "y"), "region").where("x_root != root and (root = main or x < y)").where(differ <= s.fine_limit)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, crowds: DataFrame, s: Settings) -> DataFrame:
-    """Confirmed links that connect all classes that candidates can connect."""
+    """(node, root): the components that confirmed candidates make."""
     same = "1.0 * aggregate(zip_with(sa, sb, (x, y) -> int(x = y)), 0, (n, x) -> n + x)"
     values = F.transform(F.sequence(F.lit(0), F.lit(s.values - 1)), lambda i: F.substring(F.col("signature"), i * 4 + 1, F.lit(4)))
     signed = classes.select("set_key", values.alias("values"))
-
-    def alike(found: DataFrame) -> DataFrame:
-        out = found.join(signed.select(F.col("set_key").alias("b"), F.col("values").alias("sb")), "b")
-        out = out.join(signed.select(F.col("set_key").alias("a"), F.col("values").alias("sa")), "a")
-        return out.where(F.expr(same) >= s.floor * s.values).drop("sa", "sb")
-
-    close = materialize(alike(pairs).select("a", "b", "votes"), "close")
+    close = pairs.join(signed.select(F.col("set_key").alias("b"), F.col("values").alias("sb")), "b")
+    close = close.join(signed.select(F.col("set_key").alias("a"), F.col("values").alias("sa")), "a").where(F.expr(same) >= s.floor * s.values)
+    close = materialize(close.select("a", "b"), "close")
     nodes = close.select(F.col("a").alias("set_key")).union(close.select("b")).distinct()
     wanted = materialize(classes.select("set_key", "doc_id").join(nodes, "set_key", "left_semi"), "wanted")
     sets = materialize(full_sets(docs, wanted, s), "sets")
-    # First each class with the partner that most regions name.
-    best = close.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    links = materialize(confirm(best, sets, s), "links")
-    # Then the other pairs, as far as their classes are still apart.
+    links = materialize(confirm(close, sets, s), "links")
+    # Then what large regions hold beside their main component, against all of the region: some trees
+    # at a time, since what those link or test is left out of the next.
     roots = components(links)
-    rest = close.select("a", "b").join(best, ["a", "b"], "left_anti")
-    for side in ("a", "b"):
-        rest = rest.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    links = links.union(materialize(confirm(rest, sets, s), "more-links"))
-    # Last what large regions hold beside their main component, against all of the region.
-    late = materialize(alike(crowd_pairs(crowds, components(links), s)), "crowd-pairs")
-    missing = late.select(F.col("a").alias("set_key")).union(late.select("b")).distinct().join(nodes, "set_key", "left_anti")
-    extra = materialize(classes.select("set_key", "doc_id").join(missing, "set_key", "left_semi"), "extra")
+    rows, several = crowd_members(crowds, roots)
+    members = rows.join(several.select("region"), "region", "left_semi").select("set_key").distinct()
+    members = materialize(classes.select("set_key", "doc_id").join(members, "set_key", "left_semi"), "crowd-members")
+    extra = members.join(nodes, "set_key", "left_anti")
     sets = sets.union(materialize(full_sets(docs, extra, s), "extra-sets"))
-    return links.union(materialize(confirm(late, sets, s), "crowd-links"))
+    fine = materialize(fine_sketches(sets.join(members.select("set_key"), "set_key", "left_semi"), s), "fine")
+    tested = close
+    for tree in range(0, s.trees, s.crowd_trees):
+        found = crowd_pairs(crowds.where(F.col("tree").between(tree, tree + s.crowd_trees - 1)), roots, fine, s)
+        found = materialize(found.join(tested, ["a", "b"], "left_anti"), "crowd-pairs")
+        if not found.isEmpty():
+            tested = tested.union(found)
+            links = links.union(materialize(confirm(found, sets, s), "crowd-links"))
+            roots = components(links)
+    return roots
