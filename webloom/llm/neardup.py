@@ -7,11 +7,11 @@ prefix form a region: regions start at a common prefix of ``depth`` values and,
 where they hold more than ``region`` classes, grow deeper prefixes until they do
 not.  Candidates are a class and the region's first one at every depth, and the
 neighbours within a small region, confirmed on the full sets.  Classes that large
-regions hold beside their main component then meet the rest of the region,
-behind a finer sketch.  Connected classes take the smallest doc_id.
+regions hold beside their main component then meet all of the region, whatever
+its size, behind a finer sketch.  Connected classes take the smallest doc_id.
 
 No region is ever collected beyond ``region`` classes: larger ones are only
-counted, and deepened.  Regions that stay large to the last value of the
+counted, deepened, and compared in blocks.  Regions that stay large to the last value of the
 signature hold sets that agree on all values; they are tied by the pairs with
 their first class.
 
@@ -50,9 +50,9 @@ class Settings:
     region: int = 6
     #: Pairs whose signatures agree less than this are not confirmed: over four standard deviations below the limit.
     floor: float = 0.55
-    #: In large regions, classes outside the region's main component meet all others, where that makes
-    #: at most so many pairs; where it makes more, in the deeper regions below.  So many trees at a time.
-    crowd_pairs: int = 20_000
+    #: In large regions, classes outside the region's main component meet all others, dealt out in
+    #: blocks of about so many classes on either side.  So many trees at a time.
+    crowd_block: int = 500
     crowd_trees: int = 8
     #: There pairs are compared by so many one-bit MinHash values first, 64 to a word, and
     #: confirmed where they differ in no more than a pair at the limit does, four standard deviations included.
@@ -152,7 +152,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
 def candidates(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """(a, b): pairs of classes, a < b.
 
-    And (set_key, tree, depth, region): the larger regions, at every depth.
+    And (set_key, tree, region): the larger regions at the least depth, which hold those of every other.
     """
     twice = F.concat("signature", "signature")
     prefix = lambda tree, depth: F.xxhash64(tree, F.substring(F.col("twice"), tree * (4 * s.depth) + F.lit(1), F.lit(4 * depth)))
@@ -163,7 +163,6 @@ def candidates(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     while depths[-1] < s.values:
         depths.append(min(s.values, max(depths[-1] + 1, depths[-1] * 5 // 4)))
     pairs: list[DataFrame] = []
-    crowds: list[DataFrame] = []
     for level, depth in enumerate(depths):
         regions = active.groupBy("region").agg(F.count("*").alias("n"), F.min("set_key").alias("first")).where("n > 1")
         placed = materialize(active.join(regions, "region"), "forest")
@@ -173,7 +172,8 @@ def candidates(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
         later = small.select(F.posexplode("near").alias("at", "a"), "near").select("a", F.explode(F.slice(F.col("near"), F.col("at") + 2, F.lit(s.region))).alias("b"))
         pairs.append(later)
         large = placed.where(F.col("n") > s.region)
-        crowds.append(large.select("set_key", "tree", F.lit(depth).alias("depth"), "region"))
+        if not level:
+            crowds = large.select("set_key", "tree", "region")
         if level + 1 == len(depths) or large.isEmpty():
             break
         deeper = large.select("set_key", "tree").join(rows, "set_key")
@@ -181,7 +181,7 @@ def candidates(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     out = pairs[0]
     for more in pairs[1:]:
         out = out.union(more)
-    return out.distinct(), functools.reduce(DataFrame.union, crowds)
+    return out.distinct(), crowds
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -278,17 +278,20 @@ def crowd_pairs(crowds: DataFrame, roots: DataFrame, fine: DataFrame, s: Setting
     """(a, b): classes of a large region against those of its other components, as far as their sketches agree.
 
     The region's main component stays out on one side, so a region that is
-    linked up already makes no pairs, however large it is.  Of nested regions
-    within the limit, the outermost names all pairs of the others.
+    linked up already makes no pairs, however large it is.  Both sides are dealt
+    into blocks, and each block of one meets each of the other in a task's share
+    of its own.
     """
     rows, sums = crowd_members(crowds, roots)
-    sums = sums.where((F.col("all") - F.col("most")) * F.col("all") <= s.crowd_pairs)
-    held = rows.join(sums.select("region", "main"), "region")
-    outer = held.groupBy("set_key", "tree").agg(F.min_by(F.struct("region", "main", "root"), "depth").alias("o"))
-    outer = materialize(outer.select("set_key", "o.*").join(fine, "set_key"), "open-crowds")
-    few = outer.where("root != main").select("region", F.col("set_key").alias("x"), F.col("root").alias("x_root"), F.col("bits").alias("of_x"))
+    blocks = lambda n: F.ceil(n / s.crowd_block).cast("int")
+    sums = sums.select("region", "main", blocks(F.col("all") - F.col("most")).alias("p"), blocks(F.col("all")).alias("q"))
+    held = materialize(rows.join(sums, "region").join(fine, "set_key"), "open-crowds")
+    own = lambda n: F.pmod(F.xxhash64("set_key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = held.where("root != main").select("region", own("p").alias("i"), every("q").alias("j"), F.col("set_key").alias("x"), F.col("root").alias("x_root"), F.col("bits").alias("of_x"))
+    rest = held.select("region", every("p").alias("i"), own("q").alias("j"), F.col("set_key").alias("y"), "root", "main", "bits")
     differ = functools.reduce(Column.__add__, (F.bit_count(F.col("of_x")[i].bitwiseXOR(F.col("bits")[i])) for i in range(s.fine_words)))
-    met = few.join(outer.withColumnRenamed("set_key", "y"), "region").where("x_root != root and (root = main or x < y)").where(differ <= s.fine_limit)
+    met = few.join(rest, ["region", "i", "j"]).where("x_root != root and (root = main or x < y)").where(differ <= s.fine_limit)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
