@@ -4,8 +4,9 @@ Token counts of all training texts come first, added up on the executors.  The
 most frequent words, and ends of texts, are the network's symbols; any other
 word is the symbol UNKNOWN followed by the word itself, drawn from a mixture of
 the counts of such words and a spelling model of bytes.  The network is a
-GRU in numpy, trained by truncated backpropagation through time on a bounded
-sample; its softmax is factored into a class of symbols and a symbol within the
+GRU in numpy, trained by truncated backpropagation through time on all training
+texts: in each of ``epochs`` rounds, tasks train copies of it on a share of the
+texts each, and the copies' mean goes into the next round.  Its softmax is factored into a class of symbols and a symbol within the
 class.  Every text is scored whole: many texts go through the network side by
 side, and each text's state is carried from window to window.
 
@@ -13,9 +14,11 @@ Counts of the ``head`` most frequent words (of at most ``head_bytes`` bytes) go
 to every worker; the other words of a text are counted per text and joined with
 the count table.
 
-Learning uses texts whose fold is allowed; the network sees at most
-``sample_docs`` of them and ``sample_tokens`` tokens, in a fixed pseudorandom
-order of ids.
+Learning uses all texts whose fold is allowed, in a fixed pseudorandom order of
+ids.  Tasks and the texts of each grow with the root of their number.  Where
+there are several tasks, one task makes the common start of their copies, from
+about ``sample_docs`` of the texts.  The spelling model is of all words that are
+no symbols.
 
 Cases: null and empty texts are a single end; repeated rows get equal scores;
 without training texts counts are 0 and the network is untrained; an empty table
@@ -24,9 +27,10 @@ gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +59,8 @@ class Settings:
     window: int = 16
     streams: int = 64
     sample_docs: int = 3000
-    sample_tokens: int = 500_000
-    sample_bytes: int = 200_000
+    #: Tokens that a task holds at once while it trains; the state starts anew behind them.
+    chunk_tokens: int = 500_000
     epochs: int = 2
     rate: float = 0.004
     seed: int = 3
@@ -74,18 +78,27 @@ ENDS = 256
 class Spelling:
     """A byte model of words: contexts of up to three bytes, each backed off to the next shorter one (Witten-Bell)."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray):
-        contexts, symbol, owner = self._steps(words)
-        weight = np.minimum(counts, 2).astype(np.float64)[owner] if len(words) else np.empty(0)
-        single = np.bincount(symbol, weight, 257) + 0.5
+    def __init__(self, sums: list[tuple[np.ndarray, np.ndarray]]):
+        """``sums`` as of ``sums_of``, by the context's length."""
+        single = np.full(257, 0.5)
+        single[sums[0][0]] += sums[0][1]
         self.single = single / single.sum()
         self.tables = []
-        for context in contexts:
-            keys, at = np.unique(context * 257 + symbol, return_inverse=True)
-            n = np.bincount(at, weight, len(keys))
+        for keys, n in sums[1:]:
             rows, row_of = np.unique(keys // 257, return_inverse=True)
             self.tables.append((keys, n, rows, np.bincount(row_of, n, len(rows)), np.bincount(row_of, minlength=len(rows)).astype(np.float64)))
 
+    @classmethod
+    def sums_of(cls, words: list[bytes], counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(context * 257 + byte, ascending; weight) for contexts of no byte, one, two and three."""
+        contexts, symbol, owner = cls._steps(words)
+        weight = np.minimum(counts, 2).astype(np.float64)[owner]
+        out = []
+        for context in [np.zeros_like(symbol), *contexts]:
+            keys, at = np.unique(context * 257 + symbol, return_inverse=True)
+            out.append((keys, np.bincount(at, weight, len(keys))))
+        return out
+
     @staticmethod
     def _steps(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Contexts of each length, the byte, and the word's number, for each byte and each end."""
@@ -220,7 +233,39 @@ class Network:
         return out, dh
 
 
-def train(network: Network, inputs: np.ndarray, targets: np.ndarray, s: Settings) -> list[float]:
+class Adam:
+    """Moments of a network's weights; the rate goes down from ``high`` to ``low`` of the whole over ``steps``."""
+
+    def __init__(self, weights: dict[str, np.ndarray], steps: int, high: float = 1.0, low: float = 0.0):
+        self.m = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.v2 = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.steps, self.high, self.low, self.count = steps, high, low, 0
+
+    def apply(self, weights: dict[str, np.ndarray], grads: dict[str, np.ndarray], rate: float) -> None:
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        clip = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+        self.count += 1
+        part = self.high - (self.high - self.low) * min(1.0, self.count / (self.steps + 1))
+        rate = rate * part / (1 - 0.9**self.count) * np.sqrt(1 - 0.999**self.count)
+        for k, g in grads.items():
+            g = g * clip
+            self.m[k] += np.float32(0.1) * (g - self.m[k])
+            self.v2[k] += np.float32(0.001) * (g * g - self.v2[k])
+            weights[k] -= np.float32(rate) * self.m[k] / (np.sqrt(self.v2[k]) + np.float32(1e-8))
+
+
+def train_whole(network: Network, inputs: np.ndarray, targets: np.ndarray, s: Settings, adam: Adam) -> list[float]:
+    """One pass over all of a sequence: what full windows of all streams leave over goes through fewer and shorter ones."""
+    losses = []
+    while len(targets):
+        part = replace(s, epochs=1, streams=max(1, min(s.streams, len(targets) // s.window)), window=min(s.window, len(targets)))
+        used = len(targets) // (part.streams * part.window) * part.streams * part.window
+        losses += train(network, inputs[:used], targets[:used], part, adam)
+        inputs, targets = inputs[used:], targets[used:]
+    return losses
+
+
+def train(network: Network, inputs: np.ndarray, targets: np.ndarray, s: Settings, adam: Adam | None = None) -> list[float]:
     """Truncated backpropagation over ``streams`` rows side by side; mean losses.
 
     ``inputs`` and ``targets`` are one sequence; a target END ends a text, and
@@ -232,9 +277,8 @@ def train(network: Network, inputs: np.ndarray, targets: np.ndarray, s: Settings
     inputs = inputs[: length * s.streams].reshape(s.streams, length)
     targets = targets[: length * s.streams].reshape(s.streams, length)
     w, n = network.weights, s.hidden
-    m = {k: np.zeros_like(v) for k, v in w.items()}
-    v2 = {k: np.zeros_like(v) for k, v in w.items()}
-    losses, count, steps = [], 0, s.epochs * (length // s.window)
+    adam = adam or Adam(w, s.epochs * (length // s.window))
+    losses = []
     for _ in range(s.epochs):
         h = np.zeros((s.streams, n), np.float32)
         for start in range(0, length, s.window):
@@ -264,15 +308,7 @@ def train(network: Network, inputs: np.ndarray, targets: np.ndarray, s: Settings
                 grads["fresh"] += h0.T @ (dc * r)
                 dh = (dh * z + dx[:, : 2 * n] @ w["gates"].T + (dc * r) @ w["fresh"].T) * alive
             grads["inputs"] = d_inputs
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            clip = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-            count += 1
-            rate = s.rate * (1 - count / (steps + 1)) / (1 - 0.9**count) * np.sqrt(1 - 0.999**count)
-            for k, g in grads.items():
-                g = g * clip
-                m[k] += np.float32(0.1) * (g - m[k])
-                v2[k] += np.float32(0.001) * (g * g - v2[k])
-                w[k] -= np.float32(rate) * m[k] / (np.sqrt(v2[k]) + np.float32(1e-8))
+            adam.apply(w, grads, s.rate)
     return losses
 
 
@@ -363,27 +399,99 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> tuple[Model, DataFrame]:
     unknown = int((sums.n or 0) - head_counts[:n].sum())
     network = Network.fresh(np.concatenate([[unknown, ends], head_counts[:n]]).astype(np.float64), s)
     known_share = 0.0 if not unknown else float(np.clip(1 - (sums.once or 0) / unknown, 0.05, 0.98))
-    model = Model(s, network, head, head_counts, ends, (sums.n or 0) + ends, sums.v + (ends > 0), unknown, known_share, Spelling(head[n:], head_counts[n:]), [])
-    ids = allowed.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(sample_order(F.col("doc_id")), "doc_id").limit(s.sample_docs)
-    # sample_docs ids at most are broadcast.
-    sample = allowed.where(F.octet_length("text") <= s.sample_bytes).join(F.broadcast(ids), "doc_id").select("doc_id", F.col("text").cast("binary").alias("text")).toArrow()
-    texts = sorted(zip(sample.column("doc_id").to_pylist(), sample.column("text").to_pylist()))
-    model.prepare()
-    network.bounded = False  # while weights change
-    inputs, targets = [], []
-    for _, text in texts:
-        if sum(map(len, targets)) >= s.sample_tokens:
-            break
-        i, t, _, _ = sequence(text, model)
-        inputs.append(i)
-        targets.append(t)
-    if targets:
-        model.losses = train(network, np.concatenate(inputs), np.concatenate(targets), s)
+    model = Model(s, network, head, head_counts, ends, (sums.n or 0) + ends, sums.v + (ends > 0), unknown, known_share, Spelling(count_spelling(counts, head[:n])), [])
+    model.losses = train_rounds(allowed, model)
     model.ready = {}
     network.bounded = False
     return model, counts
 
 
+def count_spelling(counts: DataFrame, symbols: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``Spelling.sums_of`` of all counted words but the symbols; bytes and contexts come to the driver, no words."""
+    known = frozenset(symbols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if w not in known]
+            if rows:
+                for back, (keys, n) in enumerate(Spelling.sums_of([w for w, _ in rows], np.array([n for _, n in rows]))):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), back, np.int32)), pa.array(keys), pa.array(n)], ["back", "key", "n"])
+
+    found = counts.select("word", "c").mapInArrow(lean(run), "back int, key long, n double").groupBy("back", "key").agg(F.sum("n").alias("n")).toArrow()
+    back, keys, n = (found.column(x).to_numpy() for x in ("back", "key", "n"))
+    order = np.argsort(keys)
+    return [(keys[at], n[at]) for at in (order[back[order] == i] for i in range(ORDER))]
+
+
+def train_rounds(allowed: DataFrame, model: Model) -> list[float]:
+    """Trains the model's network on all texts; the mean loss of each round."""
+    s, network = model.settings, model.network
+    tasks = max(1, math.ceil(math.sqrt(model.ends / s.sample_docs)))
+    rows = allowed.select(sample_order(F.col("doc_id")).alias("at"), "doc_id", F.col("text").cast("binary").alias("text"))
+    plans = [(rows, tasks, 1 - i / s.epochs, 1 - (i + 1) / s.epochs) for i in range(s.epochs)]
+    if tasks > 1:
+        plans.insert(0, (rows.where(F.pmod("at", F.lit(tasks * tasks)) == 0), 1, 1.0, 1.0))
+    shared = allowed.sparkSession.sparkContext.broadcast(model)
+    losses = []
+    for texts, parts, high, low in plans:
+        dealt = texts.repartition(parts, "at").sortWithinPartitions("at", "doc_id", "text").select("text")
+        # Copies are added up on the executors: the driver gets about the root of their number.
+        steps = model.tokens // (tasks * s.streams * s.window)
+        copies = dealt.mapInArrow(lean(_train_copy(shared, network.weights, steps, high, low)), "tokens long, loss double, weights binary")
+        added = copies.repartition(math.isqrt(parts - 1) + 1).mapInArrow(lean(_add_copies), copies.schema).toArrow()
+        tokens = sum(added.column("tokens").to_pylist())
+        if tokens:
+            total = sum(np.frombuffer(x, np.float64) for x in added.column("weights").to_pylist()) / tokens
+            network.weights = _unpacked(total, network.weights)
+            losses.append(sum(added.column("loss").to_pylist()) / tokens)
+    shared.destroy()
+    return losses
+
+
+def _unpacked(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    ends = np.cumsum([w.size for w in like.values()])
+    return {k: x.reshape(w.shape).astype(np.float32) for (k, w), x in zip(like.items(), np.split(flat, ends[:-1]))}
+
+
+def _add_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens, loss, total = 0, 0.0, None
+    for batch in batches:
+        for n, x, flat in zip(*(c.to_pylist() for c in batch.columns)):
+            flat = np.frombuffer(flat, np.float64)
+            tokens, loss, total = tokens + n, loss + x, flat if total is None else total + flat
+    if tokens:
+        yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([loss]), pa.array([total.tobytes()], pa.binary())], ["tokens", "loss", "weights"])
+
+
+def _train_copy(shared, weights: dict[str, np.ndarray], steps: int, high: float, low: float):
+    """A batch function: a copy of the network, trained on all of a task's texts; weights and loss times tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value.prepare()
+        s = model.settings
+        network = Network(model.network.size, {k: v.copy() for k, v in weights.items()})
+        adam = Adam(network.weights, steps, high, low)
+        inputs, targets, held, tokens, loss = [], [], 0, 0, 0.0
+        for batch in batches:
+            for text in text_bytes(batch.column(0)):
+                i, t, _, _ = sequence(text, model)
+                inputs.append(i)
+                targets.append(t)
+                held += len(t)
+                if held >= s.chunk_tokens:
+                    tokens += held
+                    loss += float(np.mean(train_whole(network, np.concatenate(inputs), np.concatenate(targets), s, adam))) * held
+                    inputs, targets, held = [], [], 0
+        if held:
+            tokens += held
+            loss += float(np.mean(train_whole(network, np.concatenate(inputs), np.concatenate(targets), s, adam))) * held
+        if tokens:
+            flat = np.concatenate([w.ravel() for w in network.weights.values()]).astype(np.float64) * tokens
+            yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([loss]), pa.array([flat.tobytes()], pa.binary())], ["tokens", "loss", "weights"])
+
+    return run
+
+
 def sequence(text: bytes, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Inputs and targets of a text, numbers of its words in the head (-1: not there), and the words that are not there."""
     ready = model.ready
