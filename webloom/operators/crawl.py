@@ -62,18 +62,23 @@ def crawl(
     robots: Callable[[DataFrame], DataFrame] | None = None,
     resume: tuple[DataFrame, DataFrame, int] | None = None,
     on_round: Callable[[DataFrame, DataFrame, int], None] | None = None,
+    named: DataFrame | None = None,
 ) -> DataFrame:
     """(url, depth, seq, html, status) of every URL that was taken up.
 
     ``robots`` keeps the rows that may be fetched.  ``resume`` is (visited,
     frontier, depth) of an earlier crawl; ``on_round`` gets the same after each
-    round.  Pages count towards ``max_pages``; other answers do not.
+    round.  ``named`` (url) are further seeds, behind the others and by address;
+    all are taken up, and the page budget alone ends them.  Pages count towards ``max_pages``; other answers do not.
     """
     if resume:
         visited, frontier, depth = resume
     else:
         rows = [(u, -1, i) for i, u in enumerate(dict.fromkeys(seeds))]
         frontier = spark.createDataFrame(rows, FRONTIER)
+        if named is not None:
+            more = numbered(named.select("url").distinct(), ["url"], len(rows))
+            frontier = frontier.union(more.select("url", F.lit(-1).cast("long"), "seq"))
         frontier = first_found(frontier.withColumn("url", urls.normalize_url(F.col("url"), s.strip_params, sorted(s.allow_params))))
         visited, depth = spark.createDataFrame([], VISITED), 0
     base = seeds[0] if seeds else ""

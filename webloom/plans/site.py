@@ -83,20 +83,20 @@ def mirror_site(
     ``robots`` holds robots files (host, status, body).
     """
     rules = policy.robots_rules(robots) if robots is not None and s.respect_robots else None
-    seeds = [url]
+    named = None
     if s.sitemap_seed and robots is not None and sitemap_fetch:
         named = policy.sitemap_pages(policy.sitemap_addresses(robots), sitemap_fetch)
         named = named.where(urls.url_allowed(F.col("url"), F.lit(url), s.same_origin_only, s.include, s.exclude))
-        seeds += [r.url for r in named.orderBy("url").limit(s.max_pages).collect()]  # no more can be fetched
     checkpoint = s.checkpoint_file or f"{folder}/state"
     visited = crawl_ops.crawl(
         spark,
-        seeds,
+        [url],
         fetch_pages,
         s,
         (lambda rows: policy.may_fetch(rows, rules, s.user_agent)) if rules is not None else None,
         state.load_checkpoint(spark, checkpoint) if s.resume else None,
         lambda visited, frontier, depth: state.save_checkpoint(spark, checkpoint, visited, frontier, depth, start=url),
+        named,
     )
     pages = visited.where("status = 'page'").select(F.col("seq").alias("page_id"), "url", "html")
     found = collect_assets(pages, fetch_bodies, url, s, rules)
