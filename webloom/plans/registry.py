@@ -229,7 +229,8 @@ def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crawl over the snapshot from the page with the smallest URL."""
     pages = table(spark, sf_dir, "pages")
     seed = pages.agg(F.min("url")).first()[0]
-    visited = crawl.crawl(spark, [seed], snapshot.from_pages(pages), Settings(crawl=True, max_depth=3))
+    # No crawl of a table has more pages than its rows: the budget cuts nothing.
+    visited = crawl.crawl(spark, [seed], snapshot.from_pages(pages), Settings(crawl=True, max_depth=3, max_pages=pages.count() + 1))
     return visited.select("url", "depth", "status")
 
 
