@@ -35,3 +35,15 @@ def test_remainders_are_trained_on():
     inputs[-1] = 4  # in no full window
     lm.train_whole(net, inputs, targets, s, lm.Adam(net.weights, 3))
     assert (net.weights["inputs"][4] != before[4]).any()
+
+
+def test_large_ids_are_learnt_from(spark):
+    s = lm.Settings(head=6, words=3, epochs=1, classes=2, hidden=4)
+    own = {i: f"{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(40)}
+    rows = [(i, "common " * 20_000 + f"{own[i]} end") for i in own]  # 800000 tokens, held-out ones included
+    model, _ = lm.fit(spark.createDataFrame(rows, "doc_id long, text string"), s)
+    start = lm.Network.fresh(np.concatenate([[model.unknown, model.ends], model.head_counts[:3]]).astype(float), s)
+    for i, word in own.items():
+        if zlib.crc32(str(i).encode()) % 10 and word.encode() not in model.head[:3]:
+            at = 5 + lm.unknown_bucket(word.encode(), s.unknown_inputs)
+            assert (model.network.weights["inputs"][at] != start.weights["inputs"][at]).any(), i
