@@ -16,28 +16,45 @@ from webloom.llm.common import free_prefix, materialize, read_table
 from webloom.llm.queries import RANK_FILE
 
 
-def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The documents whose id is in ``wanted`` (doc_id); a null id is an id too."""
-    name = f"{free_prefix(docs)}wanted"
-    ids = wanted.select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a key of the whole row, and its name; keys go by id, rows without one last."""
+    name = f"{free_prefix(docs)}key"
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), mixing.fingerprint(docs).alias("fp"))
+    return docs.withColumn(name, key), name
+
+
+def _by_key(keyed: DataFrame, name: str) -> DataFrame:
+    """The rows for an operator, the key in place of the id."""
+    return keyed.withColumn("doc_id", F.col(name)).drop(name)
+
+
+def _only(keyed: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
+    """The documents whose key is in ``wanted`` (doc_id)."""
+    keys = wanted.select(F.col("doc_id").alias(f"{name}_wanted")).distinct()
+    return keyed.join(keys, F.col(name).eqNullSafe(F.col(f"{name}_wanted")), "left_semi")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a determined language go."""
-    found = langid.predict(docs, langid.fit(docs))
-    return _only(docs, found.where(F.col("lang_pred") != langid.UNDETERMINED))
+    keyed, name = _keyed(docs)
+    found = langid.predict(_by_key(keyed, name), langid.fit(docs))
+    return _only(keyed, name, found.where(F.col("lang_pred") != langid.UNDETERMINED)).drop(name)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules go."""
-    return _only(docs, quality_rules.judge(docs).where("kept"))
+    keyed, name = _keyed(docs)
+    return _only(keyed, name, quality_rules.judge(_by_key(keyed, name)).where("kept")).drop(name)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id."""
-    found = neardup.near_duplicates(docs)
-    return _only(docs, found.where("kept")).dropDuplicates(["doc_id"])
+    """One document of each group stays: the one with the smallest id, and of rows that share it the smallest key.
+
+    Rows without an id come last; those linked with nothing stay, equal rows once.
+    """
+    keyed, name = _keyed(docs)
+    found = neardup.near_duplicates(_by_key(keyed, name))
+    return _only(keyed, name, found.where("kept")).dropDuplicates([name]).drop(name)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
