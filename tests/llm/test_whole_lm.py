@@ -47,3 +47,39 @@ def test_large_ids_are_learnt_from(spark):
         if zlib.crc32(str(i).encode()) % 10 and word.encode() not in model.head[:3]:
             at = 5 + lm.unknown_bucket(word.encode(), s.unknown_inputs)
             assert (model.network.weights["inputs"][at] != start.weights["inputs"][at]).any(), i
+
+
+def test_gradients_through_time():
+    s = lm.Settings(hidden=4, classes=3, streams=2, window=4, epochs=1, unknown_inputs=2)
+    net = lm.Network.fresh(np.array([5.0, 2, 9, 4, 1, 3, 2]), s)
+    net.weights = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    rng = np.random.default_rng(0)
+    inputs, targets, h, ended = rng.integers(0, 9, (4, 3)), rng.integers(0, 7, (4, 3)), rng.standard_normal((3, 4)) * 0.5, np.array([True, False, False])
+    _, _, grads, rows = lm.gradients(net, inputs, targets, h, ended)
+    whole = np.zeros_like(net.weights["inputs"])
+    whole[rows] = grads["inputs"]
+    grads["inputs"] = whole
+    for name, w in net.weights.items():
+        for at in np.ndindex(*w.shape):
+            before, losses = w[at], []
+            for step in (1e-5, -1e-5):
+                w[at] = before + step
+                losses.append(lm.gradients(net, inputs, targets, h, ended)[0])
+            w[at] = before
+            assert abs((losses[0] - losses[1]) / 2e-5 - grads[name][at]) < 1e-6, (name, at)
+
+
+def test_words_as_bytes_split_them():
+    texts = [None, "", " A b\x0bC\x1cd\u00c9 ", "x" * 70_000 + " y", "\n\n", "tail"]
+    words, owner = lm.words_of(lm.pa.array(texts, lm.pa.string()))
+    assert [(int(o), bytes(w)) for o, w in zip(owner, words.to_pylist())] == [(i, w) for i, t in enumerate(texts) for w in (t or "").encode().lower().split()]
+
+
+def test_score_equals_score_in_one_go(spark):
+    rows = [(i, f"word{i % 7} is here and word{i % 3}") for i in range(40)] + [(None, "no id"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    settings = lm.replace(TINY, epochs=2)
+    one, two = lm.fit_and_score(docs, settings).collect(), lm.score(docs, *lm.fit(docs, settings)).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
+    assert [tuple(r)[:6] for r in sorted(one, key=key)] == [tuple(r)[:6] for r in sorted(two, key=key)]
+    assert np.allclose([r.score for r in sorted(one, key=key)], [r.score for r in sorted(two, key=key)], atol=1e-4)

@@ -6,21 +6,25 @@ word is the symbol UNKNOWN followed by the word itself, drawn from a mixture of
 the counts of such words and a spelling model of bytes.  The network is a
 GRU in numpy, trained by truncated backpropagation through time on all training
 texts: in each of ``epochs`` rounds, tasks train copies of it on a share of the
-texts each, and the copies' mean goes into the next round.  Its softmax is factored into a class of symbols and a symbol within the
-class.  Every text is scored whole: many texts go through the network side by
-side, and each text's state is carried from window to window.
+texts each, and the copies' mean goes into the next round.  Its softmax is
+factored into a class of symbols and a symbol within the class.  Every text is
+scored whole: many texts go through the network side by side, and each text's
+state is carried from window to window.
 
-Counts of the ``head`` most frequent words (of at most ``head_bytes`` bytes) go
-to every worker; the other words of a text are counted per text and joined with
-the count table.
+Texts are cut into words once: a text is then its symbols, two bytes each, and
+training and scoring read those.  Counts of the ``head`` most frequent words (of
+at most ``head_bytes`` bytes) go to the workers that do so; the other words of a
+text are counted per text and joined with the count table.
 
 Learning uses all texts whose fold is allowed, in a fixed pseudorandom order of
 ids.  Tasks and the texts of each grow with the root of their number.  Where
 there are several tasks, one task makes the common start of their copies, from
 about ``sample_docs`` of the texts.  The spelling model is of all words that are
-no symbols.
+no symbols; it keeps the ``contexts`` most frequent steps of each length and backs
+off from any other, so what goes to the workers is bounded.
 
-Cases: null and empty texts are a single end; repeated rows get equal scores;
+Cases: null and empty texts are a single end; repeated rows get equal scores; rows
+without an id are in the fold of the empty text;
 without training texts counts are 0 and the network is untrained; an empty table
 gives an empty table.
 """
@@ -30,15 +34,16 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, lean, materialize, sample_order, text_bytes, tune
+from .common import fold, lean, materialize, sample_order, tune
 
 UNKNOWN, END = 0, 1
 
@@ -56,17 +61,19 @@ class Settings:
     classes: int = 64
     hidden: int = 32
     unknown_inputs: int = 512
+    contexts: int = 2_000_000
     window: int = 16
-    streams: int = 64
+    streams: int = 512
     sample_docs: int = 3000
     #: Tokens that a task holds at once while it trains; the state starts anew behind them.
     chunk_tokens: int = 500_000
     epochs: int = 2
-    rate: float = 0.004
+    rate: float = 0.02
     seed: int = 3
-    #: Bytes of text that go through the network side by side.
-    batch_bytes: int = 10 << 20
-    scoring_window: int = 32
+    #: Tokens and texts that go through the network side by side.
+    batch_tokens: int = 4_000_000
+    batch_texts: int = 16_384
+    scoring_window: int = 16
 
 
 # --- spelling -----------------------------------------------------------------
@@ -137,19 +144,28 @@ class Spelling:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def segments(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(sorted_keys) else np.empty(0, np.int64)
 
 
 @dataclass
 class Network:
-    """Weights by name; ``size`` symbols in each class."""
+    """Weights by name; ``size`` symbols in each class, the last of which is UNKNOWN's own."""
 
     size: int
     weights: dict[str, np.ndarray]
     bounded: bool = False
 
     def bound(self) -> None:
-        """States lie within -1 and 1; where no exponential can then overflow, scoring leaves out the guard."""
+        """States lie within -1 and 1; where no exponential can then overflow, the softmax leaves out the guard."""
         w = self.weights
         most = max(np.abs(w["class_w"]).sum(0).max(), np.abs(w["word_w"]).sum(1).max())
         highest = max(w["class_b"].max(), w["word_b"].max())
@@ -161,10 +177,11 @@ class Network:
         """Small random weights; biases that give the symbols' frequencies."""
         rng = np.random.default_rng(s.seed)
         symbols, h = len(symbol_counts), s.hidden
-        classes = max(1, min(s.classes, symbols))
-        size = -(-symbols // classes)
+        classes = max(2, min(s.classes, symbols))
+        size = -(-(symbols - 1) // (classes - 1))
         counts = np.zeros(classes * size)
-        counts[:symbols] = symbol_counts + 0.5
+        counts[: symbols - 1] = symbol_counts[1:] + 0.5
+        counts[-size] = symbol_counts[UNKNOWN] + 0.5
         counts = counts.reshape(classes, size)
         within = np.where(counts > 0, np.log(np.maximum(counts, 1e-9) / np.maximum(counts.sum(1, keepdims=True), 1e-9)), -40)
         of_class = np.log(np.maximum(counts.sum(1), 1e-9) / counts.sum())
@@ -173,8 +190,7 @@ class Network:
             size,
             {
                 "inputs": draw(symbols + s.unknown_inputs, 3 * h),
-                "gates": draw(h, 2 * h),
-                "fresh": draw(h, h),
+                "recur": draw(3, h, h),
                 "class_w": draw(h, classes),
                 "class_b": of_class.astype(np.float32),
                 "word_w": draw(classes, h, size) * np.float32(0.2),
@@ -183,76 +199,118 @@ class Network:
         )
 
     def step(self, inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        w, n = self.weights, h.shape[1]
-        x = w["inputs"][inputs]
-        gates = sigmoid(x[:, : 2 * n] + h @ w["gates"])
-        z, r = gates[:, :n], gates[:, n:]
-        hu = h @ w["fresh"]
-        c = np.tanh(x[:, 2 * n :] + r * hu)
-        return c + z * (h - c), z, r, hu, c
+        return self.advance(self.spread(inputs), h)
+
+    def spread(self, inputs: np.ndarray) -> np.ndarray:
+        """What inputs add to the gates z and r and to the new content, side by side along the first axis."""
+        x = self.weights["inputs"].take(inputs, axis=0)
+        return np.ascontiguousarray(x.reshape(len(inputs), 3, -1).transpose(1, 0, 2))
+
+    def advance(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next state, and the gates z and r, the state's share of the new content, and the new content."""
+        u = np.matmul(h, self.weights["recur"])
+        gates = u[:2]
+        gates += x[:2]
+        z, r = sigmoid(gates)
+        c = r * u[2]
+        c += x[2]
+        np.tanh(c, out=c)
+        new = h - c
+        new *= z
+        new += c
+        return new, z, r, u[2], c
 
     def log_probs(self, h: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """ln p of each target; with ``grads`` also the slopes of the mean loss on h."""
-        w = self.weights
-        group, place = targets // self.size, targets % self.size
-        at = np.arange(len(targets))
-        logits = h @ w["class_w"] + w["class_b"]
-        if not self.bounded:
-            logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        out = logits[at, group] - np.log(total)
-        dh = None
-        if grads is not None:
-            d = e / total[:, None]
-            d[at, group] -= 1
-            d /= len(targets)
-            grads["class_w"] = h.T @ d
-            grads["class_b"] = d.sum(0)
-            grads["word_w"], grads["word_b"] = np.zeros_like(w["word_w"]), np.zeros_like(w["word_b"])
-            dh = d @ w["class_w"].T
-        order = np.argsort(group, kind="stable")
-        edges = np.flatnonzero(np.diff(group[order])) + 1
-        for part in np.split(order, edges) if len(order) else []:
-            g = int(group[part[0]])
-            hp = h[part]
-            logits = hp @ w["word_w"][g] + w["word_b"][g]
+        """ln p of each target; with ``grads`` also the slopes of the mean loss on h.
+
+        Rows are put in the order of their classes, so that each class is a slice.
+        """
+        w, n = self.weights, len(targets)
+        own = len(w["class_b"]) - 1
+        group, place = np.divmod(targets - 1, self.size)
+        group[targets == UNKNOWN], place[targets == UNKNOWN] = own, 0
+        order = np.argsort(group.astype(np.uint16), kind="stable")
+        group, place, h = group[order], place[order], h.take(order, axis=0)
+        known = int(np.searchsorted(group, own))  # behind them, the class says all
+        starts = segments(group[:known])
+        slices = list(zip(group[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), known]))
+
+        def normalized(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+            at = np.arange(len(target))
             if not self.bounded:
                 logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(1)
-            own = np.arange(len(part))
-            out[part] += logits[own, place[part]] - np.log(total)
-            if grads is not None:
-                d = e / total[:, None]
-                d[own, place[part]] -= 1
-                d /= len(targets)
-                grads["word_w"][g] = hp.T @ d
-                grads["word_b"][g] = d.sum(0)
-                dh[part] += d @ w["word_w"][g].T
+            lp = logits[at, target]
+            np.exp(logits, out=logits)
+            total = logits @ np.ones(logits.shape[1], logits.dtype)
+            lp -= np.log(total)
+            if grads is not None:  # now the slopes
+                total *= n
+                logits /= total[:, None]
+                logits[at, target] -= logits.dtype.type(1 / n)
+            return lp
+
+        d = h @ w["class_w"]
+        d += w["class_b"]
+        lp = normalized(d, group)
+        ones, dh = np.ones(n, h.dtype), None
+        if grads is not None:
+            grads["class_w"], grads["class_b"], dh = h.T @ d, ones @ d, d @ w["class_w"].T
+        d = np.empty((known, self.size), h.dtype)
+        for g, a, b in slices:
+            np.matmul(h[a:b], w["word_w"][g], out=d[a:b])
+            d[a:b] += w["word_b"][g]
+        lp[:known] += normalized(d, place[:known])
+        if grads is not None:
+            grads["word_w"], grads["word_b"] = np.zeros_like(w["word_w"]), np.zeros_like(w["word_b"])
+            for g, a, b in slices:
+                np.matmul(h[a:b].T, d[a:b], out=grads["word_w"][g])
+                np.matmul(ones[a:b], d[a:b], out=grads["word_b"][g])
+                dh[a:b] += d[a:b] @ w["word_w"][g].T
+            placed = np.empty_like(dh)
+            placed[order] = dh
+            dh = placed
+        out = np.empty_like(lp)
+        out[order] = lp
         return out, dh
 
 
 class Adam:
-    """Moments of a network's weights; the rate goes down from ``high`` to ``low`` of the whole over ``steps``."""
+    """Moments of a network's weights; the rate goes down from ``high`` to ``low`` of the whole over ``steps``.
+
+    Of ``inputs`` only the rows that a step has used move.
+    """
 
     def __init__(self, weights: dict[str, np.ndarray], steps: int, high: float = 1.0, low: float = 0.0):
         self.m = {k: np.zeros_like(v) for k, v in weights.items()}
         self.v2 = {k: np.zeros_like(v) for k, v in weights.items()}
         self.steps, self.high, self.low, self.count = steps, high, low, 0
 
-    def apply(self, weights: dict[str, np.ndarray], grads: dict[str, np.ndarray], rate: float) -> None:
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+    def apply(self, weights: dict[str, np.ndarray], grads: dict[str, np.ndarray], rate: float, rows: np.ndarray) -> None:
+        """``grads["inputs"]`` is of ``rows``."""
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
         clip = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
         self.count += 1
         # Never 0: a task with more than its share of tokens learns from its last texts too.
         part = max(0.05, self.high - (self.high - self.low) * min(1.0, self.count / (self.steps + 1)))
         rate = rate * part / (1 - 0.9**self.count) * np.sqrt(1 - 0.999**self.count)
         for k, g in grads.items():
-            g = g * clip
-            self.m[k] += np.float32(0.1) * (g - self.m[k])
-            self.v2[k] += np.float32(0.001) * (g * g - self.v2[k])
-            weights[k] -= np.float32(rate) * self.m[k] / (np.sqrt(self.v2[k]) + np.float32(1e-8))
+            g *= clip
+            some = k == "inputs"
+            m, v2 = (x[k].take(rows, axis=0) if some else x[k] for x in (self.m, self.v2))
+            m += np.float32(0.1) * (g - m)
+            np.square(g, out=g)
+            g -= v2
+            g *= np.float32(0.001)
+            v2 += g
+            np.sqrt(v2, out=g)
+            g += np.float32(1e-8)
+            np.divide(m, g, out=g)
+            g *= np.float32(rate)
+            if some:
+                self.m[k][rows], self.v2[k][rows] = m, v2
+                weights[k][rows] -= g
+            else:
+                weights[k] -= g
 
 
 def train_whole(network: Network, inputs: np.ndarray, targets: np.ndarray, s: Settings, adam: Adam) -> list[float]:
@@ -281,38 +339,85 @@ def train(network: Network, inputs: np.ndarray, targets: np.ndarray, s: Settings
     adam = adam or Adam(w, s.epochs * (length // s.window))
     losses = []
     for _ in range(s.epochs):
-        h = np.zeros((s.streams, n), np.float32)
+        h = np.zeros((s.streams, n), w["recur"].dtype)
+        ended = np.zeros(s.streams, bool)
         for start in range(0, length, s.window):
-            tape, states = [], []
-            for t in range(start, start + s.window):
-                alive = (targets[:, t - 1] != END).astype(np.float32)[:, None] if t else np.ones((s.streams, 1), np.float32)
-                h0 = h * alive
-                h, *rest = network.step(inputs[:, t], h0)
-                tape.append((h0, alive, *rest))
-                states.append(h)
-            grads: dict[str, np.ndarray] = {}
-            flat = np.concatenate(states)
-            lp, dflat = network.log_probs(flat, targets[:, start : start + s.window].T.ravel(), grads)
-            losses.append(float(-lp.mean()))
-            d_inputs = np.zeros_like(w["inputs"])
-            grads["gates"], grads["fresh"] = np.zeros_like(w["gates"]), np.zeros_like(w["fresh"])
-            dh = np.zeros((s.streams, n), np.float32)
-            for i in range(s.window - 1, -1, -1):
-                h0, alive, z, r, hu, c = tape[i]
-                dh = dh + dflat[i * s.streams : (i + 1) * s.streams]
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (h0 - c) * z * (1 - z)
-                dr = dc * hu * r * (1 - r)
-                dx = np.concatenate([dz, dr, dc], 1)
-                np.add.at(d_inputs, inputs[:, start + i], dx)
-                grads["gates"] += h0.T @ dx[:, : 2 * n]
-                grads["fresh"] += h0.T @ (dc * r)
-                dh = (dh * z + dx[:, : 2 * n] @ w["gates"].T + (dc * r) @ w["fresh"].T) * alive
-            grads["inputs"] = d_inputs
-            adam.apply(w, grads, s.rate)
+            own = targets[:, start : start + s.window].T
+            loss, h, grads, rows = gradients(network, inputs[:, start : start + s.window].T, own, h, ended)
+            ended = own[-1] == END
+            losses.append(loss)
+            adam.apply(w, grads, s.rate, rows)
     return losses
 
 
+def gradients(network: Network, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, ended: np.ndarray) -> tuple[float, np.ndarray, dict, np.ndarray]:
+    """Of a window (time, stream): mean loss, last state, slopes of the mean loss, and the rows of ``inputs`` that theirs are of.
+
+    The state of a stream whose text has ended before the window, or in it, starts anew.
+    """
+    w, (window, streams), n = network.weights, targets.shape, h.shape[1]
+    flat = np.ascontiguousarray(inputs).ravel()
+    x = network.spread(flat).reshape(3, window, streams, n)
+    alive = np.concatenate([~ended[None], targets[:-1] != END]).astype(h.dtype)[:, :, None]
+    before, states, tape = np.empty_like(x[0]), np.empty_like(x[0]), []
+    for t in range(window):
+        np.multiply(h, alive[t], out=before[t])
+        h, *rest = network.advance(x[:, t], before[t])
+        states[t] = h
+        tape.append(rest)
+    grads: dict[str, np.ndarray] = {}
+    network.bound()
+    lp, slopes = network.log_probs(states.reshape(-1, n), np.ascontiguousarray(targets).ravel(), grads)
+    slopes = slopes.reshape(window, streams, n)
+    # Slopes on what inputs add (z, r, new content) and on the state's share of the new content.
+    dx, du = np.empty_like(x), np.empty_like(x[0])
+    back = np.ascontiguousarray(w["recur"].transpose(0, 2, 1))
+    dh, kept, rest = np.zeros((3, streams, n), h.dtype)
+    for t in range(window - 1, -1, -1):
+        z, r, hu, c = tape[t]
+        dz, dr, dc = dx[:, t]
+        dh += slopes[t]
+        np.multiply(dh, z, out=kept)
+        np.subtract(dh, kept, out=dc)
+        np.multiply(c, c, out=rest)
+        np.subtract(1, rest, out=rest)
+        dc *= rest
+        np.subtract(before[t], c, out=dz)
+        dz *= kept
+        dz -= np.multiply(dz, z, out=rest)
+        np.multiply(dc, r, out=du[t])
+        np.multiply(du[t], hu, out=dr)
+        dr -= np.multiply(dr, r, out=rest)
+        np.matmul(dz, back[0], out=dh)
+        dh += dr @ back[1]
+        dh += du[t] @ back[2]
+        dh += kept
+        dh *= alive[t]
+    on_state = before.reshape(-1, n).T
+    grads["recur"] = np.stack([on_state @ d.reshape(-1, n) for d in (dx[0], dx[1], du)])
+    rows, grads["inputs"] = sums_by(flat, np.concatenate(dx.reshape(3, -1, n), axis=1))
+    return float(-lp.mean()), h, grads, rows
+
+
+def sums_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their rows of values."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    keys, values = keys[order], values.take(order, axis=0)
+    starts = segments(keys)
+    ends = np.append(starts[1:], len(keys))
+    sums = values.take(starts, axis=0)
+    for k in range(1, 8):  # few rows: together, the k-th of each key
+        more = np.flatnonzero(ends - starts > k)
+        if not len(more):
+            break
+        sums[more] += values.take(starts[more] + k, axis=0)
+    ones = np.ones(len(keys), values.dtype)
+    for i in np.flatnonzero(ends - starts > 8).tolist():  # many: each key by itself
+        a, b = starts[i], ends[i]
+        np.matmul(ones[a:b], values[a:b], out=sums[i])
+    return keys[starts], sums
+
+
 # --- model --------------------------------------------------------------------
 
 
@@ -329,25 +434,10 @@ class Model:
     known_share: float  # of the counts in the mixture for unknown words
     spelling: Spelling
     losses: list[float]
-    ready: dict = field(default_factory=dict)
-
-    def prepare(self) -> Model:
-        """Lookup tables, made on each worker once."""
-        if not self.ready:
-            s = self.settings
-            n = min(s.words, len(self.head))
-            symbols = n + 2
-            ids = np.full(len(self.head) + 1, UNKNOWN, np.int32)
-            ids[:n] = np.arange(2, n + 2)
-            inputs = ids.copy()
-            inputs[n:-1] = [symbols + unknown_bucket(w, s.unknown_inputs) for w in self.head[n:]]
-            spelt = np.zeros(len(self.head) + 1)
-            if len(self.head) > n:
-                spelt[n:-1] = self.spelt(self.head_counts[n:], self.spelling.log10(self.head[n:]))
-            base = np.append(np.log10(self.head_counts + s.smoothing), 0.0)
-            self.network.bound()
-            self.ready = {"index": _Index(zip(self.head, range(len(self.head)))), "ids": ids, "inputs": inputs, "spelt": spelt, "base": base, "symbols": symbols}
-        return self
+
+    @property
+    def symbols(self) -> int:
+        return min(self.settings.words, len(self.head)) + 2
 
     def spelt(self, counts: np.ndarray, spelling: np.ndarray) -> np.ndarray:
         """log10 p(word | UNKNOWN)."""
@@ -355,9 +445,32 @@ class Model:
         return np.log10(known + (1 - self.known_share) * 10.0 ** np.maximum(spelling, -300))
 
 
-class _Index(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
+@dataclass
+class Vocabulary:
+    """What a text becomes; every array has one entry more, for words that are not in the head."""
+
+    settings: Settings
+    spelling: Spelling
+    symbols: int
+    ends: int
+    words: pa.Array
+    codes: np.ndarray
+    base: np.ndarray
+    spelt: np.ndarray
+
+    @classmethod
+    def of(cls, model: Model) -> Vocabulary:
+        s, head, n = model.settings, model.head, model.symbols - 2
+        if model.symbols + s.unknown_inputs > 1 << 16:
+            raise ValueError("symbols and unknown inputs have to fit into two bytes")
+        codes = np.zeros(len(head) + 1, np.uint16)
+        codes[:n] = np.arange(2, n + 2)
+        codes[n:-1] = [model.symbols + unknown_bucket(w, s.unknown_inputs) for w in head[n:]]
+        spelt = np.zeros(len(head) + 1)
+        if len(head) > n:
+            spelt[n:-1] = model.spelt(model.head_counts[n:], model.spelling.log10(head[n:]))
+        base = np.append(np.log10(model.head_counts + s.smoothing), 0.0)
+        return cls(s, model.spelling, model.symbols, model.ends, pa.array(head, pa.large_binary()), codes, base, spelt)
 
 
 def unknown_bucket(word: bytes, n: int) -> int:
@@ -365,30 +478,67 @@ def unknown_bucket(word: bytes, n: int) -> int:
     return (word[0] * 7919 + (word[1] if len(word) > 1 else 0) * 104729 + word[-1] * 1299709) % 10007 % n
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of a column of texts, A-Z lower-cased, and the number of each one's text."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    owner = np.repeat(np.arange(len(texts)), np.diff(found.offsets.to_numpy()))
+    words = found.flatten().cast(pa.large_binary())
+    full = pc.greater(pc.binary_length(words), 0)  # blanks at a text's ends leave empty words
+    return words.filter(full), owner[full.to_numpy(zero_copy_only=False)]
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, c) over all rows; each task adds up before the shuffle."""
 
+    def added(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held, size = [], 0
         for batch in batches:
-            for text in text_bytes(batch.column(0)):
-                seen.update(text.lower().split())
-            if len(seen) > 300_000:
-                yield _pairs(seen)
-                seen = Counter()
-        yield _pairs(seen)
+            seen = pc.value_counts(words_of(batch.column(0))[0])
+            held.append(pa.table({"word": seen.field(0), "c": seen.field(1)}))
+            size += len(seen)
+            if size > 600_000:
+                held = [added(held)]
+                size = len(held[0])
+                if size > 300_000:
+                    yield from _pairs(held[0])
+                    held, size = [], 0
+        if held:
+            yield from _pairs(added(held))
 
     return texts.select("text").mapInArrow(lean(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _pairs(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+def _pairs(seen: pa.Table) -> Iterator[pa.RecordBatch]:
+    return seen.cast(pa.schema([("word", pa.binary()), ("c", pa.int64())])).to_batches(max_chunksize=50_000)
+
+
+def held_out(s: Settings):
+    return fold(F.col("doc_id"), s.folds) == s.held_out_fold
 
 
 def fit(docs: DataFrame, s: Settings = Settings()) -> tuple[Model, DataFrame]:
     """The model, and the table of all training counts."""
-    tune(docs.sparkSession)
-    allowed = docs.select("doc_id", "text").where(fold(F.col("doc_id"), s.folds) != s.held_out_fold)
+    allowed = docs.where(~held_out(s))
+    model, counts = fit_counts(allowed, s)
+    train_rounds(materialize(encode(allowed, model).select("doc_id", "codes"), "lm-codes"), model)
+    return model, counts
+
+
+def fit_and_score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """``score(docs, *fit(docs))``; texts are cut into words once for both."""
+    model, counts = fit_counts(docs.where(~held_out(s)), s)
+    parts = materialize(encode(docs, model), "lm-parts")
+    train_rounds(parts.where(~held_out(s)).select("doc_id", "codes"), model)
+    return score_parts(parts, model, counts)
+
+
+def fit_counts(allowed: DataFrame, s: Settings) -> tuple[Model, DataFrame]:
+    """The model with an untrained network, and the table of all counts."""
+    tune(allowed.sparkSession)
+    allowed = allowed.select("doc_id", "text")
     counts = materialize(count_words(allowed), "lm-counts")
     ends = allowed.count()
     sums = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("once")).first()
@@ -400,15 +550,12 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> tuple[Model, DataFrame]:
     unknown = int((sums.n or 0) - head_counts[:n].sum())
     network = Network.fresh(np.concatenate([[unknown, ends], head_counts[:n]]).astype(np.float64), s)
     known_share = 0.0 if not unknown else float(np.clip(1 - (sums.once or 0) / unknown, 0.05, 0.98))
-    model = Model(s, network, head, head_counts, ends, (sums.n or 0) + ends, sums.v + (ends > 0), unknown, known_share, Spelling(count_spelling(counts, head[:n])), [])
-    model.losses = train_rounds(allowed, model)
-    model.ready = {}
-    network.bounded = False
+    model = Model(s, network, head, head_counts, ends, (sums.n or 0) + ends, sums.v + (ends > 0), unknown, known_share, Spelling(count_spelling(counts, head[:n], s.contexts)), [])
     return model, counts
 
 
-def count_spelling(counts: DataFrame, symbols: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """``Spelling.sums_of`` of all counted words but the symbols; bytes and contexts come to the driver, no words."""
+def count_spelling(counts: DataFrame, symbols: list[bytes], most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``Spelling.sums_of`` of all counted words but the symbols; at most ``most`` steps of each length come to the driver, no words."""
     known = frozenset(symbols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,35 +565,39 @@ def count_spelling(counts: DataFrame, symbols: list[bytes]) -> list[tuple[np.nda
                 for back, (keys, n) in enumerate(Spelling.sums_of([w for w, _ in rows], np.array([n for _, n in rows]))):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), back, np.int32)), pa.array(keys), pa.array(n)], ["back", "key", "n"])
 
-    found = counts.select("word", "c").mapInArrow(lean(run), "back int, key long, n double").groupBy("back", "key").agg(F.sum("n").alias("n")).toArrow()
-    back, keys, n = (found.column(x).to_numpy() for x in ("back", "key", "n"))
-    order = np.argsort(keys)
-    return [(keys[at], n[at]) for at in (order[back[order] == i] for i in range(ORDER))]
+    found = counts.select("word", "c").mapInArrow(lean(run), "back int, key long, n double").groupBy("back", "key").agg(F.sum("n").alias("n"))
+    found = materialize(found, "lm-spelling")
+    out = []
+    for back in range(ORDER):
+        steps = found.where(F.col("back") == back).orderBy(F.col("n").desc(), "key").limit(most).select("key", "n").toArrow()
+        keys, n = steps.column("key").to_numpy(), steps.column("n").to_numpy()
+        order = np.argsort(keys)
+        out.append((keys[order], n[order]))
+    return out
 
 
-def train_rounds(allowed: DataFrame, model: Model) -> list[float]:
-    """Trains the model's network on all texts; the mean loss of each round."""
+def train_rounds(encoded: DataFrame, model: Model) -> None:
+    """Trains the model's network on all texts (doc_id, codes); the mean loss of each round goes into ``losses``."""
     s, network = model.settings, model.network
     tasks = max(1, math.ceil(math.sqrt(model.ends / s.sample_docs)))
-    rows = allowed.select(sample_order(F.col("doc_id")).alias("at"), "doc_id", F.col("text").cast("binary").alias("text"))
+    rows = encoded.select(sample_order(F.col("doc_id")).alias("at"), "doc_id", "codes")
     plans = [(rows, tasks, 1 - i / s.epochs, 1 - (i + 1) / s.epochs) for i in range(s.epochs)]
     if tasks > 1:
         plans.insert(0, (rows.where(F.pmod("at", F.lit(tasks * tasks)) == 0), 1, 1.0, 1.0))
-    shared = allowed.sparkSession.sparkContext.broadcast(model)
-    losses = []
     for texts, parts, high, low in plans:
-        dealt = texts.repartition(parts, "at").sortWithinPartitions("at", "doc_id", "text").select("text")
+        shared = encoded.sparkSession.sparkContext.broadcast(network)
+        dealt = texts.repartition(parts, "at").sortWithinPartitions("at", "doc_id", "codes").select("codes")
         # Copies are added up on the executors: the driver gets about the root of their number.
         steps = model.tokens // (tasks * s.streams * s.window)
-        copies = dealt.mapInArrow(lean(_train_copy(shared, network.weights, steps, high, low)), "tokens long, loss double, weights binary")
+        copies = dealt.mapInArrow(lean(_train_copy(shared, model.symbols, s, steps, high, low)), "tokens long, loss double, weights binary")
         added = copies.repartition(math.isqrt(parts - 1) + 1).mapInArrow(lean(_add_copies), copies.schema).toArrow()
         tokens = sum(added.column("tokens").to_pylist())
         if tokens:
             total = sum(np.frombuffer(x, np.float64) for x in added.column("weights").to_pylist()) / tokens
             network.weights = _unpacked(total, network.weights)
-            losses.append(sum(added.column("loss").to_pylist()) / tokens)
-    shared.destroy()
-    return losses
+            model.losses.append(sum(added.column("loss").to_pylist()) / tokens)
+        shared.destroy()
+    network.bounded = False
 
 
 def _unpacked(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -464,28 +615,29 @@ def _add_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([loss]), pa.array([total.tobytes()], pa.binary())], ["tokens", "loss", "weights"])
 
 
-def _train_copy(shared, weights: dict[str, np.ndarray], steps: int, high: float, low: float):
+def _train_copy(shared, symbols: int, s: Settings, steps: int, high: float, low: float):
     """A batch function: a copy of the network, trained on all of a task's texts; weights and loss times tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value.prepare()
-        s = model.settings
-        network = Network(model.network.size, {k: v.copy() for k, v in weights.items()})
+        network = Network(shared.value.size, {k: v.copy() for k, v in shared.value.weights.items()})
         adam = Adam(network.weights, steps, high, low)
-        inputs, targets, held, tokens, loss = [], [], 0, 0, 0.0
+        tokens, loss, held, size = 0, 0.0, [], 0
+
+        def learn() -> None:
+            nonlocal tokens, loss, held, size
+            inputs, targets = steps_of(np.concatenate(held), symbols)
+            tokens += size
+            loss += float(np.mean(train_whole(network, inputs, targets, s, adam))) * size
+            held, size = [], 0
+
         for batch in batches:
-            for text in text_bytes(batch.column(0)):
-                i, t, _, _ = sequence(text, model)
-                inputs.append(i)
-                targets.append(t)
-                held += len(t)
-                if held >= s.chunk_tokens:
-                    tokens += held
-                    loss += float(np.mean(train_whole(network, np.concatenate(inputs), np.concatenate(targets), s, adam))) * held
-                    inputs, targets, held = [], [], 0
-        if held:
-            tokens += held
-            loss += float(np.mean(train_whole(network, np.concatenate(inputs), np.concatenate(targets), s, adam))) * held
+            for text in batch.column(0).to_pylist():
+                held.append(np.frombuffer(text, np.uint16))
+                size += len(held[-1])
+                if size >= s.chunk_tokens:
+                    learn()
+        if size:
+            learn()
         if tokens:
             flat = np.concatenate([w.ravel() for w in network.weights.values()]).astype(np.float64) * tokens
             yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([loss]), pa.array([flat.tobytes()], pa.binary())], ["tokens", "loss", "weights"])
@@ -493,21 +645,61 @@ def _train_copy(shared, weights: dict[str, np.ndarray], steps: int, high: float,
     return run
 
 
-def sequence(text: bytes, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Inputs and targets of a text, numbers of its words in the head (-1: not there), and the words that are not there."""
-    ready = model.ready
-    words = text.lower().split()
-    at = np.fromiter(map(ready["index"].__getitem__, words), np.int64, len(words))
-    targets = np.append(ready["ids"][at], END)
-    inputs = np.empty(len(words) + 1, np.int32)
-    inputs[0] = END
-    inputs[1:] = ready["inputs"][at]
-    away = np.flatnonzero(at < 0)
-    tail = [words[i] for i in away]
-    if tail:
-        n, first = model.settings.unknown_inputs, ready["symbols"]
-        inputs[away + 1] = [first + unknown_bucket(w, n) for w in tail]
-    return inputs, targets, at, tail
+def steps_of(codes: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets of texts one after another: each input is the code before, and an END comes before the first."""
+    inputs = np.empty(len(codes), np.int32)
+    inputs[:1] = END
+    inputs[1:] = codes[:-1]
+    return inputs, np.where(codes < symbols, codes, UNKNOWN).astype(np.int32)
+
+
+def encode(docs: DataFrame, model: Model) -> DataFrame:
+    """One pass over all texts: their codes, and what the head gives of their scores.
+
+    row, doc_id, n_tokens, n_known, base (sum of log10(c + smoothing)), spelt (of
+    the head's unknown words), tail (word, times, spelling: the words that are
+    not in the head), codes (two bytes a token: a symbol, or an input for an
+    unknown word).
+    """
+    tune(docs.sparkSession)
+    rows = docs.select("doc_id", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.of(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        n_inputs, number = known.settings.unknown_inputs, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            n = batch.num_rows
+            words, owner = words_of(batch.column(1))
+            at = pc.fill_null(pc.index_in(words, value_set=known.words), -1).to_numpy()
+            codes = known.codes[at]
+            away = np.flatnonzero(at < 0)
+            tail = words.take(pa.array(away)).to_pylist()
+            codes[away] = [known.symbols + unknown_bucket(w, n_inputs) for w in tail]
+            sizes = np.bincount(owner, minlength=n)
+            ends = np.cumsum(sizes + 1)
+            every = np.full(len(codes) + n, END, np.uint16)
+            every[np.arange(len(codes)) + owner] = codes
+            edges = np.searchsorted(owner[away], np.arange(n + 1))
+            times = [Counter(tail[a:b]) for a, b in zip(edges, edges[1:])]
+            rare = [w for x in times for w in x]
+            fields = [pa.array(rare, pa.binary()), pa.array([c for x in times for c in x.values()], pa.int64()), pa.array(known.spelling.log10(rare))]
+            columns = [
+                pa.array(np.arange(number, number + n)),
+                batch.column(0),
+                pa.array(sizes + 1),
+                pa.array(sizes - np.diff(edges) + (known.ends > 0)),
+                pa.array(np.bincount(owner, known.base[at], n) + np.log10(known.ends + known.settings.smoothing), pa.float64()),
+                pa.array(np.bincount(owner, known.spelt[at], n).astype(np.float64)),
+                pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, times)]), pa.int32()), pa.StructArray.from_arrays(fields, ["word", "times", "spelling"])),
+                pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.append(0, 2 * ends).astype(np.int64)), pa.py_buffer(every)]).cast(pa.binary()),
+            ]
+            number += n
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "n_known", "base", "spelt", "tail", "codes"])
+
+    schema = f"row long, doc_id {kind}, n_tokens long, n_known long, base double, spelt double, tail array<struct<word: binary, times: long, spelling: double>>, codes binary"
+    return rows.mapInArrow(lean(run), schema)
 
 
 def network_scores(network: Network, sequences: list[tuple[np.ndarray, np.ndarray]], window: int) -> np.ndarray:
@@ -519,19 +711,18 @@ def network_scores(network: Network, sequences: list[tuple[np.ndarray, np.ndarra
     every_in = np.concatenate([sequences[i][0] for i in order]) if len(order) else np.empty(0, np.int32)
     every_out = np.concatenate([sequences[i][1] for i in order]) if len(order) else np.empty(0, np.int32)
     out = np.zeros(len(order))
-    n = network.weights["fresh"].shape[0]
+    n = network.weights["recur"].shape[1]
     h = np.zeros((len(order), n), np.float32)
     for start in range(0, int(sizes[0]) if len(sizes) else 0, window):
         width = min(window, int(sizes[0]) - start)
-        alive = [int(np.searchsorted(shorter, -(start + t), side="left")) for t in range(width)]
+        alive = np.searchsorted(shorter, -(start + np.arange(width)), side="left")
         ends = np.cumsum(alive)
-        states, targets, owners = np.empty((ends[-1], n), np.float32), np.empty(ends[-1], np.int32), np.empty(ends[-1], np.int32)
-        for t, (lanes, end) in enumerate(zip(alive, ends)):
-            at = first[:lanes] + (start + t)
-            h[:lanes] = network.step(every_in[at], h[:lanes])[0]
-            states[end - lanes : end] = h[:lanes]
-            targets[end - lanes : end] = every_out[at]
-            owners[end - lanes : end] = np.arange(lanes)
+        owners = np.arange(ends[-1]) - np.repeat(ends - alive, alive)
+        at = first[owners] + np.repeat(start + np.arange(width), alive)
+        states, inputs, targets = np.empty((ends[-1], n), np.float32), every_in[at], every_out[at]
+        for lanes, end in zip(alive.tolist(), ends.tolist()):
+            h = network.step(inputs[end - lanes : end], h[:lanes])[0]  # texts that have ended fall off the end
+            states[end - lanes : end] = h
         for lo in range(0, len(targets), 16_384):
             lp = network.log_probs(states[lo : lo + 16_384], targets[lo : lo + 16_384])[0]
             out += np.bincount(owners[lo : lo + 16_384], lp, len(order))
@@ -540,68 +731,44 @@ def network_scores(network: Network, sequences: list[tuple[np.ndarray, np.ndarra
     return result
 
 
-def score_parts(docs: DataFrame, model: Model) -> DataFrame:
-    """One pass over all texts: what the head gives, and each text's other words.
-
-    row, doc_id, n_tokens, n_known, base (sum of log10(c + smoothing)), score,
-    tail (word, times, spelling).
-    """
-    tune(docs.sparkSession)
-    rows = docs.select("doc_id", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def with_network(parts: DataFrame, model: Model) -> DataFrame:
+    """``parts`` with the network's score of the codes in their place."""
+    shared, symbols, s = parts.sparkSession.sparkContext.broadcast(model.network), model.symbols, model.settings
+    rows = parts.select(*[c for c in parts.columns if c != "codes"], "codes")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value.prepare()
-        ready, s = model.ready, model.settings
-        number = TaskContext.get().partitionId() << 40
-        ids, texts, held = [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal number
-            found, sequences = [], []
-            for text in texts:
-                inputs, targets, at, tail = sequence(text, model)
-                sequences.append((inputs, targets))
-                here = at[at >= 0]
-                found.append([len(targets), len(here) + (model.ends > 0), ready["base"][here].sum() + np.log10(model.ends + s.smoothing), ready["spelt"][here].sum(), Counter(tail)])
-            symbols = network_scores(model.network, sequences, s.scoring_window)
-            words = [w for x in found for w in x[4]]
-            times = [n for x in found for n in x[4].values()]
-            tail = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64()), pa.array(model.spelling.log10(words))], ["word", "times", "spelling"])
-            ends = np.cumsum([0, *(len(x[4]) for x in found)])
-            numbers = range(number, number + len(found))
-            number += len(found)
-            columns = [
-                pa.array(numbers, pa.int64()),
-                pa.array(ids, doc_type),
-                pa.array([x[0] for x in found], pa.int64()),
-                pa.array([x[1] for x in found], pa.int64()),
-                pa.array([x[2] for x in found], pa.float64()),
-                pa.array([a + x[3] for a, x in zip(symbols, found)], pa.float64()),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail),
-            ]
-            return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "n_known", "base", "score", "tail"])
+        network = shared.value
+        network.bound()
+        held, tokens, texts = [], 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            sequences = [steps_of(np.frombuffer(x, np.uint16), symbols) for x in table.column("codes").to_pylist()]
+            found = pa.array(network_scores(network, sequences, s.scoring_window))
+            return table.drop_columns(["codes"]).append_column("symbols", found).to_batches()
 
         for batch in batches:
-            doc_type = batch.column(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                ids.append(doc_id)
-                texts.append(text)
-                held += len(text)
-                if held >= s.batch_bytes or len(ids) >= 20_000:
-                    yield flush()
-                    ids, texts, held = [], [], 0
-        if ids:
-            yield flush()
+            held.append(batch)
+            tokens += batch.column(batch.num_columns - 1).nbytes // 2
+            texts += batch.num_rows
+            if tokens >= s.batch_tokens or texts >= s.batch_texts:
+                yield from flush()
+                held, tokens, texts = [], 0, 0
+        if held:
+            yield from flush()
 
-    return rows.mapInArrow(lean(run), f"row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, tail array<struct<word: binary, times: long, spelling: double>>")
+    return rows.mapInArrow(lean(run), f"{schema}, symbols double")
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    return score_parts(materialize(encode(docs, model), "lm-parts"), model, counts)
+
+
+def score_parts(parts: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """``score`` of texts that are encoded."""
     s = model.settings
-    parts = materialize(score_parts(docs, model), "lm-parts")
     tail = parts.select("row", F.explode("tail").alias("t")).select("row", "t.*").join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     known = F.lit(model.known_share / max(model.unknown, 1)) * F.col("c")
     spelt = F.log10(known + F.lit(1 - model.known_share) * F.pow(F.lit(10.0), F.greatest("spelling", F.lit(-300.0))))
@@ -610,15 +777,15 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         F.sum(F.col("times") * F.log10(F.col("c") + s.smoothing)).alias("more_base"),
         F.sum(F.col("times") * spelt).alias("more_score"),
     )
-    joined = parts.drop("tail").join(tail, "row", "left")
+    joined = with_network(parts.drop("tail"), model).join(tail, "row", "left")
     more = lambda c: F.coalesce(F.col(c), F.lit(0))
     rest = float(np.log10(model.tokens + s.smoothing * (model.distinct + 1)))
     return joined.select(
         "doc_id",
-        (fold(F.col("doc_id"), s.folds) == s.held_out_fold).alias("held_out"),
+        held_out(s).alias("held_out"),
         "n_tokens",
         (F.col("n_known") + more("more_known")).cast("long").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + more("more_base") - F.col("n_tokens") * F.lit(rest)).alias("base_score"),
-        (F.col("score") + more("more_score")).alias("score"),
+        (F.col("symbols") + F.col("spelt") + more("more_score")).alias("score"),
     )

@@ -51,7 +51,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return lm.score(docs, *lm.fit(docs))
+    return lm.fit_and_score(docs)
 
 
 def op10_quality_clf(spark: SparkSession, sf_dir: str) -> DataFrame:
