@@ -586,7 +586,9 @@ def train_rounds(encoded: DataFrame, model: Model) -> None:
         plans.insert(0, (rows.where(F.pmod("at", F.lit(tasks * tasks)) == 0), 1, 1.0, 1.0))
     for texts, parts, high, low in plans:
         shared = encoded.sparkSession.sparkContext.broadcast(network)
-        dealt = texts.repartition(parts, "at").sortWithinPartitions("at", "doc_id", "codes").select("codes")
+        # As many copies as planned, however many partitions there are: a task may hold none or several.
+        dealt = texts.withColumn("copy", F.pmod(F.xxhash64(F.lit("copy"), "at"), F.lit(parts)))
+        dealt = dealt.repartitionByRange(parts, "copy").sortWithinPartitions("copy", "at", "doc_id", "codes").select("copy", "codes")
         # Copies are added up on the executors: the driver gets about the root of their number.
         steps = model.tokens // (tasks * s.streams * s.window)
         copies = dealt.mapInArrow(lean(_train_copy(shared, model.symbols, s, steps, high, low)), "tokens long, loss double, weights binary")
@@ -616,35 +618,50 @@ def _add_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _train_copy(shared, symbols: int, s: Settings, steps: int, high: float, low: float):
-    """A batch function: a copy of the network, trained on all of a task's texts; weights and loss times tokens."""
+    """A batch function over (copy, codes), copies in order: a network for each copy, trained on all of its texts; weights and loss times tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network = Network(shared.value.size, {k: v.copy() for k, v in shared.value.weights.items()})
-        adam = Adam(network.weights, steps, high, low)
-        tokens, loss, held, size = 0, 0.0, [], 0
-
-        def learn() -> None:
-            nonlocal tokens, loss, held, size
-            inputs, targets = steps_of(np.concatenate(held), symbols)
-            tokens += size
-            loss += float(np.mean(train_whole(network, inputs, targets, s, adam))) * size
-            held, size = [], 0
-
+        now, one = None, None
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(np.frombuffer(text, np.uint16))
-                size += len(held[-1])
-                if size >= s.chunk_tokens:
-                    learn()
-        if size:
-            learn()
-        if tokens:
-            flat = np.concatenate([w.ravel() for w in network.weights.values()]).astype(np.float64) * tokens
-            yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([loss]), pa.array([flat.tobytes()], pa.binary())], ["tokens", "loss", "weights"])
+            for copy, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if copy != now:
+                    if one:
+                        yield one.result()
+                    now, one = copy, _Copy(shared.value, symbols, s, Adam(shared.value.weights, steps, high, low))
+                one.add(np.frombuffer(text, np.uint16))
+        if one:
+            yield one.result()
 
     return run
 
 
+class _Copy:
+    """A network that learns from texts as they come."""
+
+    def __init__(self, start: Network, symbols: int, s: Settings, adam: Adam):
+        self.network = Network(start.size, {k: v.copy() for k, v in start.weights.items()})
+        self.symbols, self.s, self.adam = symbols, s, adam
+        self.tokens, self.loss, self.held, self.size = 0, 0.0, [], 0
+
+    def add(self, codes: np.ndarray) -> None:
+        self.held.append(codes)
+        self.size += len(codes)
+        if self.size >= self.s.chunk_tokens:
+            self._learn()
+
+    def _learn(self) -> None:
+        inputs, targets = steps_of(np.concatenate(self.held), self.symbols)
+        self.loss += float(np.mean(train_whole(self.network, inputs, targets, self.s, self.adam))) * self.size
+        self.tokens += self.size
+        self.held, self.size = [], 0
+
+    def result(self) -> pa.RecordBatch:
+        if self.size:
+            self._learn()
+        flat = np.concatenate([w.ravel() for w in self.network.weights.values()]).astype(np.float64) * self.tokens
+        return pa.RecordBatch.from_arrays([pa.array([self.tokens]), pa.array([self.loss]), pa.array([flat.tobytes()], pa.binary())], ["tokens", "loss", "weights"])
+
+
 def steps_of(codes: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
     """Inputs and targets of texts one after another: each input is the code before, and an END comes before the first."""
     inputs = np.empty(len(codes), np.int32)
