@@ -308,3 +308,18 @@ def test_pipeline(spark):
     encoding = bpe.load_encoding(RANKS, public_tokenizers.PATTERN)
     expected = collections.Counter((r.doc_id, len(encoding.encode_ordinary(r.text))) for r in docs.collect())
     assert collections.Counter((r.doc_id, r.n_tokens) for r in pipeline.STAGES[4][1](spark, docs, SF).collect()) == expected
+
+
+def test_warc_ids_far_apart(spark, tmp_path):
+    rows = [(i, f"h{i}", f"page {i % 50}" * 50) for i in range(1000)] + [(4 * 10**15, "far", "x"), (-9 * 10**18, "low", "y"), (9 * 10**18, "high", "z")]
+    rows += [(None, None, f"none {i % 400}" * 40) for i in range(1000)] + [(7, "dup", None)] * 3
+    files = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/far", warc.Settings(shard_bytes_low=20_000))
+    sizes = [r.records for r in files.collect()]
+    assert sum(sizes) == len(rows) and len(sizes) > 20 and max(sizes) < 200  # rows without an id included
+    back = warc.read_archive(spark, f"file://{tmp_path}/far", files)
+    assert back.rdd.getNumPartitions() == files.select("shard").distinct().count()
+    newest, count = {}, collections.Counter(r.page_id for r in back.collect())
+    for i, _, html in rows:
+        newest[html or ""] = max(newest.get(html or "") if newest.get(html or "") is not None else -(2**63), i if i is not None else -(2**63))
+    assert count == collections.Counter(r[0] for r in rows)
+    assert back.where("record_type = 'response'").count() == len(newest)

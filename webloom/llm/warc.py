@@ -1,7 +1,7 @@
 """A deterministic sharded WARC writer and its reader.
 
-Records are ordered by page id and cut into shards at fixed sums of payload
-bytes, so the same table always gives the same files.  A task writes a shard's
+Records are ordered by page id, those of one id by a hash of the payload, and cut
+into shards at fixed sums of payload bytes, so the same table always gives the same files.  A task writes a shard's
 records one after another, each a gzip member of its own, and starts a new file
 once the compressed size is reached.  Headers, record ids and digests are made
 anew.  Files are written under temporary names and renamed when complete; a
@@ -11,7 +11,8 @@ replaces its files by equal ones.
 Of equal payloads the record with the largest page id is the response; the
 others are revisits of it without a payload.
 
-Cases: null html is an empty payload; rows without a page id come first, have no
+Cases: null html is an empty payload; page ids may lie as far apart as they
+like; rows without a page id come first, have no
 id in the answer, and never are the largest unless no row of the payload has
 one; of rows with equal id and payload one is the response and the rest revisit
 it; a null url becomes ``urn:page:ID``; an empty table gives an archive without
@@ -44,6 +45,10 @@ PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE_HEADER = b"WebLoom-Page-ID"
 REFERS_HEADER = b"WebLoom-Refers-To-Page-ID"
 
+#: Ranges that byte sums are added up in, and tasks that write or read, at most.
+MOST_RANGES = 4096
+MOST_TASKS = 20_000
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -154,35 +159,49 @@ def write_whole(fs: pafs.FileSystem, path: str, data: bytes) -> None:
     fs.move(temporary, path)
 
 
-def shard_column(rows: DataFrame, s: Settings) -> tuple[Column, int]:
-    """The shard of ``page_id``, and how many there are: ids are cut where the payload bytes before them pass a multiple of the shard size.
+def sort_keys(ids: np.ndarray, has_id: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Byte strings in the order of (page id with null first, spread)."""
+    out = np.ones((len(ids), 18), np.uint8)  # the last byte keeps zeros at the end apart
+    out[:, 0] = has_id
+    flip = np.uint64(1 << 63)
+    out[:, 1:9] = (np.where(has_id, ids, 0).astype(np.int64).view(np.uint64) ^ flip).astype(">u8").view(np.uint8).reshape(-1, 8)
+    out[:, 9:17] = (spread.astype(np.int64).view(np.uint64) ^ flip).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S18").ravel()
 
-    Sums are kept per range of page ids, added up in two levels; only the first
-    page id of each shard comes to the driver.
+
+def shard_column(rows: DataFrame, s: Settings) -> tuple[Column, int]:
+    """The shard of a row (page_id, spread), and how many there are.
+
+    Rows stand in the order of page id (null first) and ``spread``, a hash of
+    the payload; a shard begins where the payload bytes before it pass a
+    multiple of the shard size.  The sums before each key come from a sort by
+    range: sums of its partitions, and sums within each.  So the distance
+    between ids plays no part, and rows without an id fill as many shards as
+    their bytes ask for.  Only the first key of each shard comes to the driver.
     """
     spark = rows.sparkSession
-    total = rows.agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"), F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
-    if total.low is None:
-        return F.lit(0).cast("long"), 1
-    shard_bytes = min(max(s.shard_bytes_low, (total.bytes or 0) // 4096), s.shard_bytes_high)
-    width = max(1, (total.high - total.low + 1) * 64 // total.n)
-    number = F.floor((F.col("page_id") - total.low) / width)
-    sums = rows.where("page_id is not null").groupBy(number.alias("range")).agg(F.sum("n_bytes").alias("bytes"))
-    sums = sums.withColumn("group", F.floor(F.col("range") / 1024))
+    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
+    shard_bytes = min(max(s.shard_bytes_low, total // 4096), s.shard_bytes_high)
+    order = [F.col("page_id").asc_nulls_first(), F.col("spread").asc()]
+    sums = rows.groupBy("page_id", "spread").agg(F.sum("n_bytes").alias("bytes"))
+    sums = sums.repartitionByRange(max(1, min(-(-total // shard_bytes), MOST_RANGES)), *order).sortWithinPartitions(*order)
+    sums = materialize(sums.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "warc-order")
     up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    groups = sums.groupBy("group").agg(F.sum("bytes").alias("all"))
-    groups = groups.select("group", F.coalesce(F.sum("all").over(up_to(Window.orderBy("group"))), F.lit(0)).alias("before_group"))
-    within = F.coalesce(F.sum("bytes").over(up_to(Window.partitionBy("group").orderBy("range"))), F.lit(0))
-    sums = sums.withColumn("within", within).join(groups, "group")
-    shard = F.floor((F.col("within") + F.col("before_group")) / shard_bytes)
-    firsts = sums.groupBy(shard.alias("shard")).agg(F.min("range").alias("range")).orderBy("range").collect()
-    edges = spark.sparkContext.broadcast(np.array([r.range * width + total.low for r in firsts[1:]], np.int64))
+    parts = sums.groupBy("part").agg(F.sum("bytes").alias("all"))
+    parts = parts.select("part", F.coalesce(F.sum("all").over(up_to(Window.orderBy("part"))), F.lit(0)).alias("before"))
+    own = F.coalesce(F.sum("bytes").over(up_to(Window.partitionBy("part").orderBy("at"))), F.lit(0))
+    placed = sums.withColumn("own", own).join(F.broadcast(parts), "part")  # MOST_RANGES rows at most
+    shard = F.floor((F.col("own") + F.col("before")) / shard_bytes)
+    firsts = placed.groupBy(shard.alias("shard")).agg(F.min_by(F.struct("page_id", "spread"), "at").alias("key")).orderBy("shard").select("key.*").collect()[1:]
+    has = np.array([r.page_id is not None for r in firsts], bool)
+    edges = spark.sparkContext.broadcast(sort_keys(np.array([r.page_id or 0 for r in firsts], np.int64), has, np.array([r.spread for r in firsts], np.int64)))
 
-    @F.pandas_udf("long")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges.value, ids.to_numpy(np.int64), side="right"))
+    @F.pandas_udf("int")
+    def shard_of(ids: pd.Series, has_id: pd.Series, spread: pd.Series) -> pd.Series:
+        keys = sort_keys(ids.to_numpy(np.int64), has_id.to_numpy(bool), spread.to_numpy(np.int64))
+        return pd.Series(np.searchsorted(edges.value, keys, side="right").astype(np.int32))
 
-    return shard_of(F.coalesce("page_id", F.lit(total.low))), len(firsts)
+    return shard_of(F.coalesce("page_id", F.lit(0).cast("long")), F.col("page_id").isNotNull(), "spread"), len(firsts) + 1
 
 
 def write_archive(pages: DataFrame, folder: str, s: Settings = Settings()) -> DataFrame:
@@ -195,14 +214,16 @@ def write_archive(pages: DataFrame, folder: str, s: Settings = Settings()) -> Da
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("n_bytes", F.length("payload").cast("long"))
-    narrow = rows.select("page_id", "digest", "n_bytes")
+    rows = rows.withColumn("spread", F.xxhash64("digest"))
+    narrow = rows.select("page_id", "digest", "spread", "n_bytes")
     shard, shards = shard_column(narrow, s)
     repeated = narrow.groupBy("digest", "n_bytes").agg(F.count("*").alias("times"), F.max("page_id").alias("newest")).where("times > 1").drop("times")
-    notes = narrow.join(repeated.hint("merge"), ["digest", "n_bytes"]).select("page_id", "digest", "newest").distinct()
+    notes = narrow.join(repeated.hint("merge"), ["digest", "n_bytes"]).select("page_id", "digest", "spread", "newest").distinct()
     # Notes on repeated payloads travel beside the pages and come before them, so that payloads are shuffled once.
     notes = notes.select(shard.alias("shard"), "page_id", "digest", F.lit(0).alias("order"), "newest", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     whole = rows.select(shard.alias("shard"), "page_id", "digest", F.lit(1).alias("order"), F.lit(None).cast("long").alias("newest"), "url", "payload")
-    rows = notes.union(whole).repartition(min(shards, 20_000), "shard")
+    tasks = min(shards, MOST_TASKS)
+    rows = notes.union(whole).repartitionById(tasks, F.pmod("shard", F.lit(tasks)))
     rows = rows.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "order", F.col("url").asc_nulls_first())
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
@@ -264,7 +285,10 @@ def read_archive(spark: SparkSession, folder: str, files: DataFrame) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
-    return files.select("file").repartition("file").mapInArrow(lean(run), schema)
+    # A task for each shard: names are small, and would otherwise be put together in one.
+    tasks = max(1, min((files.agg(F.max("shard")).first()[0] or 0) + 1, MOST_TASKS))
+    named = files.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int"))
+    return named.sortWithinPartitions("file").select("file").mapInArrow(lean(run), schema)
 
 
 def iterate_records(raw) -> Iterator[tuple | None]:
