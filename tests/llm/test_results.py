@@ -175,6 +175,21 @@ def test_ann_recall(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_ann_odd_sizes(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(a) for a in rng.standard_normal(8) * 1e100]) for i in range(300)] + [(1000 + i, [1e100] * 8) for i in range(50)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for i in np.flatnonzero(ids % 20 == 0):
+        scores = (x * x[i]).sum(1)
+        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == ids[i])
+        assert [r[0] for r in own] == list(range(1, 21)) and all(r[2] == scores[list(ids).index(r[1])] for r in own)
+        assert [(-r[2], r[1]) for r in own] == sorted((-r[2], r[1]) for r in own)
+    huge = [(i, [float(a) for a in np.abs(rng.standard_normal(8)) * 1e160]) for i in range(60)]  # products beyond a double
+    got = ann.search(spark.createDataFrame(huge, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 60 and {r.score for r in got} == {float("inf")}
+
+
 def brute_components(texts):
     sets = {}
     for i, t in texts.items():
