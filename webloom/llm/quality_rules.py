@@ -3,8 +3,10 @@
 Counts per document come first; failures are then added up by host (the
 ``source``), each host's rate is shrunk towards the others with a beta prior
 fitted to all hosts, and the host's verdict goes back to its documents.  A
-document of a distrusted host has to pass every rule, one of any other host only
-the base rules.
+document of a distrusted host has to pass every rule.  One of any other host has
+to pass the base rules, and may not fail another rule at ``clear`` times its
+limit.  A host is distrusted if its shrunk rate is high, or high beside the
+overall rate.
 
 Cases: a null text has no words; a null host is a host of its own; repeated rows
 count as often as they stand there; an empty table gives an empty table.
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, lean, materialize, tune
@@ -39,6 +41,10 @@ class Rules:
     word_chars_high: int = 20
     #: A host is distrusted if its shrunk failure rate is above this.
     host_limit: float = 0.5
+    #: Or above so many times the overall rate.
+    host_ratio: float = 1.25
+    #: A document that fails a rule at so many times its limit goes on any host.
+    clear: int = 2
     #: Bounds of the prior's weight, in documents.
     prior_low: float = 1.0
     prior_high: float = 10_000.0
@@ -94,16 +100,18 @@ def document_counts(docs: DataFrame) -> DataFrame:
 
 
 def with_rules(counts: DataFrame, rules: Rules) -> DataFrame:
-    """Adds base_failed and any_failed; integer arithmetic only."""
+    """Adds base_failed, any_failed and clear_failed; integer arithmetic only."""
     c = F.col
     base = (c("n_words") < rules.min_words) | (100 * c("n_repeat_words") > rules.max_repeat_percent * c("n_words"))
-    more = (
-        (100 * c("n_symbols") > rules.max_symbol_percent * c("n_words"))
-        | (5 * 100 * c("n_dup_lines") > rules.max_dup_line_percent * c("n_words"))
-        | (c("word_chars") < rules.word_chars_low * c("n_words"))
-        | (c("word_chars") > rules.word_chars_high * c("n_words"))
-    )
-    return counts.withColumns({"base_failed": base, "any_failed": base | more})
+    def more(times: int) -> Column:
+        return (
+            (100 * c("n_symbols") > times * rules.max_symbol_percent * c("n_words"))
+            | (5 * 100 * c("n_dup_lines") > times * rules.max_dup_line_percent * c("n_words"))
+            | (times * c("word_chars") < rules.word_chars_low * c("n_words"))
+            | (c("word_chars") > times * rules.word_chars_high * c("n_words"))
+        )
+
+    return counts.withColumns({"base_failed": base, "any_failed": base | more(1), "clear_failed": base | more(rules.clear)})
 
 
 def beta_prior(hosts: DataFrame, rules: Rules) -> tuple[float, float]:
@@ -117,7 +125,6 @@ def beta_prior(hosts: DataFrame, rules: Rules) -> tuple[float, float]:
         F.sum("n").alias("n"),
         F.sum("failed").alias("f"),
         F.sum(p * p * F.col("n")).alias("sq"),
-        F.sum(F.col("n") * F.col("n").cast("double")).alias("nn"),
     ).first()
     if not row.k or not row.n:
         return 1.0, 1.0
@@ -136,7 +143,7 @@ def host_verdicts(ruled: DataFrame, rules: Rules) -> DataFrame:
     hosts = materialize(hosts, "hosts")
     a, b = beta_prior(hosts, rules)
     rate = (F.col("failed") + a) / (F.col("n") + (a + b))
-    return hosts.withColumn("rate", rate).withColumn("distrusted", rate > rules.host_limit)
+    return hosts.withColumn("rate", rate).withColumn("distrusted", (rate > rules.host_limit) | (rate > rules.host_ratio * a / (a + b)))
 
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -148,6 +155,6 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         "doc_id",
         *COUNTS,
         "base_failed",
-        (~F.when(F.col("distrusted"), F.col("any_failed")).otherwise(F.col("base_failed"))).alias("kept"),
+        (~F.when(F.col("distrusted"), F.col("any_failed")).otherwise(F.col("clear_failed"))).alias("kept"),
         F.col("rate").alias("host_rate"),
     )

@@ -130,7 +130,9 @@ WITH w AS (
   SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM r
 ), a AS (
   SELECT *, (base_failed OR 100 * n_symbols > 50 * n_words OR 500 * n_dup_lines > 30 * n_words
-    OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS any_failed FROM b
+    OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS any_failed,
+    (base_failed OR 100 * n_symbols > 100 * n_words OR 500 * n_dup_lines > 60 * n_words
+    OR 2 * word_chars < 2 * n_words OR word_chars > 40 * n_words) AS clear_failed FROM b
 ), h AS (
   SELECT source, count(*)::DOUBLE AS n, sum(any_failed::INT)::DOUBLE AS f FROM a GROUP BY source
 ), m AS (
@@ -139,12 +141,14 @@ WITH w AS (
   SELECT mean, greatest(sq - mean * mean, 0) - mean * (1 - mean) * per AS between_hosts FROM m
 ), p AS (
   SELECT mean, least(greatest(CASE WHEN between_hosts <= 0 THEN 10000 ELSE mean * (1 - mean) / between_hosts - 1 END, 1), 10000) AS weight FROM v
+), ab AS (
+  SELECT greatest(mean, 1e-6) * weight AS a, greatest(1 - mean, 1e-6) * weight AS b FROM p
 ), j AS (
-  SELECT source, (f + greatest(mean, 1e-6) * weight) / (n + greatest(mean, 1e-6) * weight + greatest(1 - mean, 1e-6) * weight) > 0.5 AS distrusted FROM h, p
+  SELECT source, (f + a) / (n + (a + b)) > 0.5 OR (f + a) / (n + (a + b)) > 1.25 * a / (a + b) AS distrusted FROM h, ab
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT (CASE WHEN distrusted THEN any_failed ELSE base_failed END) AS kept
+  NOT (CASE WHEN distrusted THEN any_failed ELSE clear_failed END) AS kept
 FROM a JOIN j ON a.source IS NOT DISTINCT FROM j.source
 """,
 }
