@@ -132,6 +132,45 @@ def test_mixing(spark):
     assert {r.doc_id: r.w for r in pieces} == {r.doc_id: r.taken for r in got if r.taken}
 
 
+def test_shards_draw_what_is_taken(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{k}" for k in range(rng.randint(20, 400))), None, rng.choice("aaabc"), 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    s = mixing.Settings(shard_slots=64)
+    targets = mixing.source_targets(mixing.sized(docs), s)
+    counts = mixing.shard_counts(targets, s)
+    slots = mixing.mix_slots(targets, counts, s)
+    drawn = {(r.shard, r.skey): (r.n, r.first) for r in counts.collect()}
+    assert collections.Counter((r.shard, r.skey) for r in slots.collect()) == {k: n for k, (n, _) in drawn.items()}
+    total, wanted = sum(n for n, _ in drawn.values()), {r.skey: r.slots for r in targets.collect()}
+    shards = max(k[0] for k in drawn) + 1
+    assert total == sum(wanted.values()) and shards == -(-total // 64)
+    for shard in range(shards - 1):
+        assert sum(drawn.get((shard, k), (0, 0))[0] for k in wanted) == 64
+    for k, n in wanted.items():
+        at = 0
+        for shard in range(shards):  # the shards' slots of a source follow each other
+            if (shard, k) in drawn:
+                assert drawn[shard, k][1] == at
+                at += drawn[shard, k][0]
+        assert at == n
+    assert len({drawn.get((shard, "sb"), (0, 0))[0] for shard in range(shards - 1)}) > 1  # drawn, not dealt out evenly
+    blocks = collections.Counter((r.skey, r.number) for r in slots.collect())
+    assert max(blocks.values()) - 1 <= 2 and {r.first_shard is None for r in mixing.mix_counts(docs, s).where("taken > 0").collect()} == {False}
+
+
+def test_very_long_text_is_cut_once(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(100_000)), None, "a", 0), (2, "b " * 300, None, "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    words = lambda r: r.text.split()
+    pieces = mixing.mix_pieces(docs).collect()
+    taken = {r.doc_id: r.taken for r in mixing.mix_counts(docs).collect()}
+    assert {i: sum(len(words(r)) for r in pieces if r.doc_id == i) for i in (1, 2)} == taken
+    for r in pieces:
+        if r.doc_id == 1:
+            assert words(r) == [f"w{i}" for i in range(int(words(r)[0][1:]), int(words(r)[-1][1:]) + 1)]
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 1000):
         out = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5)).alias("x")).collect()
@@ -255,6 +294,15 @@ def test_host_verdicts(spark):
     assert got[100].host_rate > 0.9 > got[300].host_rate > got[0].host_rate
 
 
+def test_junk_goes_on_any_host(spark):
+    good, soft, junk = " ".join(f"word{i}" for i in range(30)), " ".join(f"w#{i}" if i % 2 else f"w##{i}" for i in range(16)) + " word" * 4, " ".join(f"w***{i}" for i in range(30))
+    rows = [(i, good, f"s{i % 10}") for i in range(200)] + [(1000 + i, junk, f"s{i % 10}") for i in range(10)]
+    rows += [(2000 + i, good if i % 2 else soft, "worse") for i in range(40)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(got[1000 + i].kept for i in range(10)) and all(got[i].kept for i in range(200))
+    assert not got[2000].kept and got[2001].kept  # a host with many failures, below one half
+
+
 def test_network_gradients():
     s = lm.Settings(hidden=5, classes=3, streams=2, window=3, epochs=1, unknown_inputs=2)
     net = lm.Network.fresh(np.array([5.0, 2, 9, 4, 1, 3, 2]), s)

@@ -2,11 +2,12 @@
 
 Each source's documents stand in a fixed pseudorandom order and their words are
 packed into blocks of fixed length.  A source gets as many slots as its target
-needs.  All slots of the mix go through one pseudorandom permutation and are cut
-into output shards, so a shard's source counts are a multinomial draw under the
-condition that the shards together meet the targets.  Slot j of a source takes
-the block that a pseudorandom permutation of the source's block numbers (one per
-pass over the source) has at j, and slots and blocks are joined by that number.
+needs.  The number of slots that each output shard has of each source is drawn: a
+multinomial draw under the condition that the shards together meet the targets,
+made by a pseudorandom permutation of all slots cut into shards.  A shard takes
+the source's next so many slots.  Slot j of a source takes the block that a
+pseudorandom permutation of the source's block numbers (one per pass over the
+source) has at j, and slots and blocks are joined by that number.
 
 Nothing here holds a whole source in one task: offsets come from sums over
 hash buckets of documents, slots are made in chunks, blocks are joined by
@@ -125,19 +126,35 @@ def with_offsets(rows: DataFrame) -> DataFrame:
     return rows.withColumn("offset", F.col("own") + F.col("before")).drop("bucket", "own", "before")
 
 
-def mix_slots(targets: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """One row per slot of the mix: shard, place in it, source key, block number."""
+def shard_counts(targets: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The draw: (shard, skey, n, first), how many slots a shard has of a source, and the source's first slot among them."""
     total = targets.agg(F.sum("slots")).first()[0] or 0
-    chunks = targets.where("slots > 0").select("skey", "blocks", "slots", "first_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOT_CHUNK))).alias("chunk"))
+    chunks = targets.where("slots > 0").select("skey", "slots", "first_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOT_CHUNK))).alias("chunk"))
     first = F.col("chunk") * SLOT_CHUNK
     last = F.least(F.col("slots"), first + SLOT_CHUNK) - 1
-    tasks = max(1, min(total // SLOT_CHUNK, 4 * targets.sparkSession.sparkContext.defaultParallelism, 10_000))
-    slots = chunks.repartition(tasks, "skey", "chunk").select("skey", "blocks", "first_slot", F.explode(F.sequence(first, last)).alias("slot"))
-    slots = slots.withColumn("key", F.xxhash64("skey", F.floor(F.col("slot") / F.col("blocks"))))
-    number = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("key"))
+    drawn = chunks.repartition(_tasks(targets, total), "skey", "chunk").select("skey", "first_slot", F.explode(F.sequence(first, last)).alias("slot"))
     place = permuted(F.col("first_slot") + F.col("slot"), F.lit(max(total, 1)).cast("long"), F.xxhash64(F.lit("shards")))
-    slots = slots.select("skey", number.alias("number"), place.alias("place"))
-    return slots.select("skey", "number", F.floor(F.col("place") / s.shard_slots).alias("shard"), (F.col("place") % s.shard_slots).alias("position"))
+    counts = drawn.groupBy("skey", F.floor(place / s.shard_slots).alias("shard")).agg(F.count("*").alias("n"))
+    # Sums over the shards before, in two levels, so that no source's shards meet in one task.
+    counts = materialize(counts.withColumn("group", F.floor(F.col("shard") / GROUP_BUCKETS)), "mix-shards")
+    up_to = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    groups = counts.groupBy("skey", "group").agg(F.sum("n").alias("all"))
+    groups = groups.select("skey", "group", F.coalesce(F.sum("all").over(up_to(["skey"], "group")), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum("n").over(up_to(["skey", "group"], "shard")), F.lit(0))
+    return counts.withColumn("within", within).join(groups, ["skey", "group"]).select("shard", "skey", "n", (F.col("within") + F.col("before")).alias("first"))
+
+
+def _tasks(targets: DataFrame, slots: int) -> int:
+    return max(1, min(slots // SLOT_CHUNK, 4 * targets.sparkSession.sparkContext.defaultParallelism, 10_000))
+
+
+def mix_slots(targets: DataFrame, counts: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """One row per slot of the mix, as the shards have drawn them: shard, source key, block number."""
+    total = targets.agg(F.sum("slots")).first()[0] or 0
+    drawn = counts.repartition(_tasks(targets, total), "skey", "shard").join(targets.select("skey", "blocks"), "skey")
+    slots = drawn.select("shard", "skey", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
+    key = F.xxhash64("skey", F.floor(F.col("slot") / F.col("blocks")))
+    return slots.select("shard", "skey", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), key).alias("number"))
 
 
 def block_parts(placed: DataFrame, targets: DataFrame, slots: DataFrame) -> DataFrame:
@@ -148,21 +165,21 @@ def block_parts(placed: DataFrame, targets: DataFrame, slots: DataFrame) -> Data
     start = F.greatest(F.col("number") * block, offset) - offset
     stop = F.least((F.col("number") + 1) * block, end) - offset
     parts = parts.withColumns({"start": start, "stop": stop})
-    times = slots.groupBy("skey", "number").agg(F.count("*").alias("times"))
+    times = slots.groupBy("skey", "number").agg(F.count("*").alias("times"), F.min("shard").alias("shard"))
     # Compressed sizes say little here, so no side may turn into a broadcast.
     return parts.join(times.hint("merge"), ["skey", "number"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
 
 def mix_counts(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Per row: doc_id, size, source_size, target, taken."""
+    """Per row: doc_id, size, source_size, target, taken, first_shard (null: taken by none)."""
     rows = materialize(sized(docs), "mix-sizes")
     targets = source_targets(rows, s)
-    parts = block_parts(with_offsets(rows), targets, mix_slots(targets, s))
+    parts = block_parts(with_offsets(rows), targets, mix_slots(targets, shard_counts(targets, s), s))
     keys = ["fp", "skey", "offset", "doc_id", "size", "source_size", "target"]
-    taken = parts.groupBy(*keys).agg(F.sum((F.col("stop") - F.col("start")) * F.col("times")).alias("taken"))
+    taken = parts.groupBy(*keys).agg(F.sum((F.col("stop") - F.col("start")) * F.col("times")).alias("taken"), F.min("shard").alias("first_shard"))
     empty = rows.where("size = 0").join(targets.select("skey", "source_size", "target"), "skey")
-    columns = ["doc_id", "size", "source_size", "target", "taken"]
-    return taken.select(*columns).union(empty.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long")))
+    columns = ["doc_id", "size", "source_size", "target", "taken", "first_shard"]
+    return taken.select(*columns).union(empty.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long"), F.lit(None).cast("long")))
 
 
 def mix_pieces(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -174,20 +191,21 @@ def mix_pieces(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """
     rows = materialize(sized(docs), "mix-sizes")
     targets = source_targets(rows, s)
-    parts = block_parts(with_offsets(rows), targets, mix_slots(targets, s)).where("times > 0")
+    parts = block_parts(with_offsets(rows), targets, mix_slots(targets, shard_counts(targets, s), s)).where("times > 0")
     parts = parts.select("fp", "offset", "size", "number", "start", "stop", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
     run = F.col("number") - F.row_number().over(Window.partitionBy("fp", "offset", "copy").orderBy("number"))
     runs = parts.withColumn("run", run).groupBy("fp", "offset", "size", "copy", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     own = free_prefix(docs)
-    fp, run, words = f"{own}fp", f"{own}run", f"{own}words"
-    runs = runs.groupBy(F.col("fp").alias(fp)).agg(F.collect_list(F.struct("start", "stop", "size")).alias(f"{own}runs"))
+    fp, runs_of = f"{own}fp", f"{own}runs"
+    runs = runs.groupBy(F.col("fp").alias(fp)).agg(F.collect_list(F.struct("start", "stop", "size")).alias(runs_of))
     texts = docs.withColumn(fp, fingerprint(docs)).dropDuplicates([fp])
     joined = texts.join(runs.hint("merge"), fp)
-    joined = joined.withColumn(words, F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD_PATTERN), F.lit(0)))
-    joined = joined.withColumn(run, F.explode(f"{own}runs"))
-    start, stop = F.col(f"{run}.start"), F.col(f"{run}.stop")
-    piece = F.array_join(F.slice(words, (start + 1).cast("int"), (stop - start).cast("int")), "")
-    joined = joined.withColumn("text", F.when((start == 0) & (stop == F.col(f"{run}.size")), F.col("text")).otherwise(piece))
+    # Cut inside the row, then exploded: neither the text nor its words are repeated for each run.
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD_PATTERN), F.lit(0))
+    cut = lambda w, r: F.array_join(F.slice(w, (r["start"] + 1).cast("int"), (r["stop"] - r["start"]).cast("int")), "")
+    whole = lambda r: (r["start"] == 0) & (r["stop"] == r["size"])
+    pieces = F.transform(F.array(words), lambda w: F.transform(F.col(runs_of), lambda r: F.when(whole(r), F.col("text")).otherwise(cut(w, r))))[0]
+    joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.explode(pieces).alias("text"))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
