@@ -1,19 +1,20 @@
 """Near-duplicates by an LSH forest over MinHash signatures.
 
 Texts with equal shingle sets form a class and are represented once.  Each class
-has a signature of MinHash values; each tree of the forest orders the classes by
-the signature read from another place on.  Classes whose orders agree on a
-prefix form a region: regions start at a common prefix of ``depth`` values and,
-where they hold more than ``region`` classes, grow deeper prefixes until they do
-not.  Candidates are a class and the region's first one at every depth, and the
-neighbours within a small region, confirmed on the full sets.  Classes that large
-regions hold beside their main component then meet all of the region, whatever
-its size, behind a finer sketch.  Connected classes take the smallest doc_id.
-
-No region is ever collected beyond ``region`` classes: larger ones are only
-counted, deepened, and compared in blocks.  Regions that stay large to the last value of the
-signature hold sets that agree on all values; they are tied by the pairs with
-their first class.
+has a signature of MinHash values; each tree of the forest sorts the classes by
+the signature read from another place on, by range over all tasks.  Neighbours in
+an order whose longest common prefix has ``depth`` values or more are candidates.
+So are a region's first class and every other one: a region is a run of such
+neighbours, and while it holds more than ``region`` classes it is cut into runs
+with a longer common prefix; in a small one all are candidates.  Runs that go on
+in the next task are tied over the border.  Candidates are confirmed on the full
+sets.  Classes that large regions hold beside their main component then meet all
+of the region, whatever its size, behind a finer sketch: first the few that each
+looks nearest to are confirmed, then all that are still apart.  Connected classes
+take the smallest doc_id.
+
+No region is ever collected: it is read as a part of a sorted order, and compared
+in blocks.
 
 Cases: null and empty texts have an empty set, are linked with nothing, and keep
 their own doc_id; fewer words than a shingle make one shingle of the whole
@@ -24,7 +25,6 @@ none; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +32,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lean, materialize, text_bytes, tune
@@ -48,12 +49,16 @@ class Settings:
     trees: int = 16
     depth: int = 3
     region: int = 6
+    #: Values that classes are sorted by, and the longest prefix that is told.
+    deepest: int = 16
     #: Pairs whose signatures agree less than this are not confirmed: over four standard deviations below the limit.
     floor: float = 0.55
     #: In large regions, classes outside the region's main component meet all others, dealt out in
     #: blocks of about so many classes on either side.  So many trees at a time.
     crowd_block: int = 500
     crowd_trees: int = 8
+    #: So many of the nearest by sketch are confirmed before the rest.
+    crowd_first: int = 4
     #: There pairs are compared by so many one-bit MinHash values first, 64 to a word, and
     #: confirmed where they differ in no more than a pair at the limit does, four standard deviations included.
     fine_words: int = 8
@@ -149,39 +154,112 @@ def full_sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     return found.join(wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
 
 
+def prefix_lengths(tree: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How many values each row of a sorted order shares with the one before it."""
+    out = np.zeros(len(keys), np.int64)
+    same = np.logical_and.accumulate(keys[1:] == keys[:-1], axis=1).sum(1)
+    out[1:] = np.where(tree[1:] == tree[:-1], same, 0)
+    return out
+
+
+def forest_pairs(shared: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates of a sorted order with these common prefixes, as pairs of places."""
+    n = len(shared)
+    at = np.flatnonzero(shared >= s.depth)
+    pairs, open_rows, depth = [(at - 1, at)], np.ones(n, bool), s.depth
+    while open_rows.any():
+        first = np.flatnonzero(shared < depth)
+        run = np.cumsum(shared < depth) - 1
+        size = np.diff(np.append(first, n))[run]
+        member = np.flatnonzero(open_rows & (shared >= depth))
+        pairs.append((first[run[member]], member))
+        small = open_rows & (size <= s.region)
+        for step in range(2, s.region):
+            left = np.flatnonzero(small[: n - step] & (run[: n - step] == run[step:]))
+            pairs.append((left, left + step))
+        open_rows &= size > s.region
+        if depth >= s.deepest:
+            break
+        depth = min(s.deepest, max(depth + 1, depth * 5 // 4))
+    return np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
+
+
+PAIR, CROWD, BORDER = 0, 1, 2
+
+
 def candidates(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """(a, b): pairs of classes, a < b.
 
-    And (set_key, tree, region): the larger regions at the least depth, which hold those of every other.
+    And (set_key, tree, region): the rows of larger regions at the least depth,
+    and of those that a border cuts.
     """
+    wide = min(s.deepest, s.values)
     twice = F.concat("signature", "signature")
-    prefix = lambda tree, depth: F.xxhash64(tree, F.substring(F.col("twice"), tree * (4 * s.depth) + F.lit(1), F.lit(4 * depth)))
-    rows = classes.select("set_key", twice.alias("twice"))
-    trees = F.explode(F.transform(F.sequence(F.lit(0), F.lit(s.trees - 1)), lambda t: F.struct(t.alias("tree"), prefix(t, s.depth).alias("region"))))
-    active = rows.select("set_key", trees.alias("t")).select("set_key", "t.tree", "t.region")
-    depths = [s.depth]
-    while depths[-1] < s.values:
-        depths.append(min(s.values, max(depths[-1] + 1, depths[-1] * 5 // 4)))
-    pairs: list[DataFrame] = []
-    for level, depth in enumerate(depths):
-        regions = active.groupBy("region").agg(F.count("*").alias("n"), F.min("set_key").alias("first")).where("n > 1")
-        placed = materialize(active.join(regions, "region"), "forest")
-        pairs.append(placed.where("set_key != first").select(F.col("first").alias("a"), F.col("set_key").alias("b")))
-        small = placed.where(F.col("n") <= s.region).groupBy("region").agg(F.sort_array(F.collect_list("set_key")).alias("near"))
-        small = small.where(F.size("near") > 2).withColumn("near", F.slice("near", 2, s.region))  # the first is paired above
-        later = small.select(F.posexplode("near").alias("at", "a"), "near").select("a", F.explode(F.slice(F.col("near"), F.col("at") + 2, F.lit(s.region))).alias("b"))
-        pairs.append(later)
-        large = placed.where(F.col("n") > s.region)
-        if not level:
-            crowds = large.select("set_key", "tree", "region")
-        if level + 1 == len(depths) or large.isEmpty():
-            break
-        deeper = large.select("set_key", "tree").join(rows, "set_key")
-        active = deeper.select("set_key", "tree", prefix(F.col("tree"), depths[level + 1]).alias("region"))
-    out = pairs[0]
-    for more in pairs[1:]:
-        out = out.union(more)
-    return out.distinct(), crowds
+    trees = F.sequence(F.lit(0), F.lit(s.trees - 1))
+    order = lambda t: F.substring(twice, t * (4 * s.depth) + F.lit(1), F.lit(4 * wide))
+    rows = classes.select("set_key", F.explode(F.transform(trees, lambda t: F.struct(t.alias("tree"), order(t).alias("order")))).alias("t")).select("t.tree", "t.order", "set_key")
+    rows = rows.withColumn("region", F.xxhash64("tree", F.substring("order", 1, 4 * s.depth)))
+    rows = rows.repartitionByRange("tree", "order", "set_key").sortWithinPartitions("tree", "order", "set_key")
+    names = ["kind", "part", "place", "tree", "region", "a", "b", "order"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        part = TaskContext.get().partitionId()
+        table = pa.Table.from_batches(held)
+        tree, region = table.column("tree").to_numpy(), table.column("region").to_numpy()
+        orders, set_keys = table.column("order").combine_chunks(), table.column("set_key").combine_chunks()
+        keys = np.frombuffer(b"".join(orders.to_pylist()), np.uint32).reshape(-1, wide)
+        n, shared = len(keys), prefix_lengths(tree, keys)
+
+        def out(kind: int, at: np.ndarray, a: np.ndarray, b: np.ndarray | None = None, order: bool = False) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(a), 50_000):
+                x = a[lo : lo + 50_000]
+                right = set_keys.take(pa.array(b[lo : lo + 50_000])) if b is not None else pa.nulls(len(x), pa.binary())
+                columns = [
+                    pa.array(np.full(len(x), kind, np.int32)), pa.array(np.full(len(x), part, np.int32)), pa.array(at[lo : lo + 50_000].astype(np.int32)),
+                    pa.array(tree[x].astype(np.int32)), pa.array(region[x]), set_keys.take(pa.array(x)), right, orders.take(pa.array(x)) if order else pa.nulls(len(x), pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+        a, b = forest_pairs(shared, s)
+        if len(a):
+            once = np.unique(a * n + b)
+            yield from out(PAIR, once, once // n, once % n)
+        first = np.flatnonzero(shared < s.depth)
+        number = np.cumsum(shared < s.depth) - 1
+        large = np.diff(np.append(first, n)) > s.region
+        large[[0, -1]] = True
+        crowd = np.flatnonzero(large[number])
+        yield from out(CROWD, crowd, crowd)
+        # For the next task: the first row of every run that is open at the end, by its depth; for the one before: the first row.
+        opened = [int(np.flatnonzero(shared < depth)[-1]) for depth in range(s.depth, wide + 1)]
+        ends = np.unique([0, *opened, n - 1])
+        yield from out(BORDER, ends, ends, order=True)
+
+    schema = "kind int, part int, place int, tree int, region long, a binary, b binary, order binary"
+    found = materialize(rows.mapInArrow(lean(run), schema), "forest")
+    ends = found.where(F.col("kind") == BORDER).select("part", "place", "tree", "a", "order")
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[:2])
+        pairs, before, part = [], [], None
+        for at, _, tree, key, order in rows:
+            if at != part:  # the first row of a task, against what is open at the end of the one before
+                values = np.frombuffer(order, np.uint32)
+                for other in before if part is not None else []:
+                    if other[2] == tree and (np.frombuffer(other[4], np.uint32)[: s.depth] == values[: s.depth]).all():
+                        pairs.append((other[3], key))
+                before, part = [], at
+            before.append((at, 0, tree, key, order))
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
+
+    # At most ``deepest`` rows of each task that has sorted.
+    tied = ends.repartition(1).mapInArrow(lean(tie), "a binary, b binary")
+    pairs = found.where(F.col("kind") == PAIR).select("a", "b").union(tied)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+    return pairs, found.where(F.col("kind") == CROWD).select(F.col("a").alias("set_key"), "tree", "region")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -274,13 +352,13 @@ def crowd_members(crowds: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataF
     return rows, sums.where("all > most")
 
 
-def crowd_pairs(crowds: DataFrame, roots: DataFrame, fine: DataFrame, s: Settings) -> DataFrame:
+def crowd_pairs(crowds: DataFrame, roots: DataFrame, fine: DataFrame, s: Settings, first: bool = False) -> DataFrame:
     """(a, b): classes of a large region against those of its other components, as far as their sketches agree.
 
     The region's main component stays out on one side, so a region that is
     linked up already makes no pairs, however large it is.  Both sides are dealt
-    into blocks, and each block of one meets each of the other in a task's share
-    of its own.
+    into blocks, and each block of one meets each of the other by itself.  With
+    ``first`` only the ``crowd_first`` nearest of each class.
     """
     rows, sums = crowd_members(crowds, roots)
     blocks = lambda n: F.ceil(n / s.crowd_block).cast("int")
@@ -288,11 +366,56 @@ def crowd_pairs(crowds: DataFrame, roots: DataFrame, fine: DataFrame, s: Setting
     held = materialize(rows.join(sums, "region").join(fine, "set_key"), "open-crowds")
     own = lambda n: F.pmod(F.xxhash64("set_key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    few = held.where("root != main").select("region", own("p").alias("i"), every("q").alias("j"), F.col("set_key").alias("x"), F.col("root").alias("x_root"), F.col("bits").alias("of_x"))
-    rest = held.select("region", every("p").alias("i"), own("q").alias("j"), F.col("set_key").alias("y"), "root", "main", "bits")
-    differ = functools.reduce(Column.__add__, (F.bit_count(F.col("of_x")[i].bitwiseXOR(F.col("bits")[i])) for i in range(s.fine_words)))
-    met = few.join(rest, ["region", "i", "j"]).where("x_root != root and (root = main or x < y)").where(differ <= s.fine_limit)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    columns = ["set_key", "root", "main", "bits"]
+    few = held.where("root != main").select("region", own("p").alias("i"), every("q").alias("j"), F.lit(0).alias("side"), *columns)
+    rest = held.select("region", every("p").alias("i"), own("q").alias("j"), F.lit(1).alias("side"), *columns)
+    met = few.union(rest).repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "side", "set_key")
+
+    def compare(x: tuple, y: tuple) -> Iterator[tuple[bytes, bytes, int]]:
+        y_key, y_root, main, y_bits = y
+        names: dict[bytes, int] = {}
+        roots = np.array([names.setdefault(r, len(names)) for r in y_root])  # numpy would cut zeros off the end of bytes
+        for key, root, bits in zip(x[0], x[1], x[3]):
+            differ = np.bitwise_count(bits[None] ^ y_bits).sum(1)
+            at = [i for i in np.flatnonzero((differ <= s.fine_limit) & (roots != names.get(root, -1))).tolist() if y_root[i] == main[i] or key < y_key[i]]
+            if first:
+                at = sorted(at, key=lambda i: (differ[i], y_key[i]))[: s.crowd_first]
+            for i in at:
+                yield key, y_key[i], int(differ[i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups() -> Iterator[tuple[tuple, list]]:
+            place, sides = None, None
+            for batch in batches:
+                plain = [batch.column(i).to_pylist() for i in range(7)]
+                bits = batch.column(7).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
+                for k, (region, i, j, side, key, root, main) in enumerate(zip(*plain)):
+                    if (region, i, j) != place:
+                        if place is not None:
+                            yield sides
+                        place, sides = (region, i, j), (([], [], [], []), ([], [], [], []))
+                    for held, value in zip(sides[side], (key, root, main, bits[k])):
+                        held.append(value)
+            if place is not None:
+                yield sides
+
+        def out(pairs: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()), pa.array([p[2] for p in pairs], pa.int32())], ["x", "y", "differ"])
+
+        pairs: list = []
+        for x, y in groups():
+            if x[0] and y[0]:
+                for pair in compare(x, (*y[:3], np.stack(y[3]))):
+                    pairs.append(pair)
+                    if len(pairs) >= 20_000:
+                        yield out(pairs)
+                        pairs = []
+        yield out(pairs)
+
+    found = met.mapInArrow(lean(run), "x binary, y binary, differ int")
+    if first:
+        found = found.distinct().withColumn("n", F.row_number().over(Window.partitionBy("x").orderBy("differ", "y"))).where(F.col("n") <= s.crowd_first)
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, crowds: DataFrame, s: Settings) -> DataFrame:
@@ -318,10 +441,11 @@ def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, crowds: DataFr
     fine = materialize(fine_sketches(sets.join(members.select("set_key"), "set_key", "left_semi"), s), "fine")
     tested = close
     for tree in range(0, s.trees, s.crowd_trees):
-        found = crowd_pairs(crowds.where(F.col("tree").between(tree, tree + s.crowd_trees - 1)), roots, fine, s)
-        found = materialize(found.join(tested, ["a", "b"], "left_anti"), "crowd-pairs")
-        if not found.isEmpty():
-            tested = tested.union(found)
-            links = links.union(materialize(confirm(found, sets, s), "crowd-links"))
-            roots = components(links)
+        for first in (True, False):
+            found = crowd_pairs(crowds.where(F.col("tree").between(tree, tree + s.crowd_trees - 1)), roots, fine, s, first)
+            found = materialize(found.join(tested, ["a", "b"], "left_anti"), "crowd-pairs")
+            if not found.isEmpty():
+                tested = tested.union(found)
+                links = links.union(materialize(confirm(found, sets, s), "crowd-links"))
+                roots = components(links)
     return roots
