@@ -61,7 +61,7 @@ class Settings:
     crowd_first: int = 4
     #: There pairs are compared by so many one-bit MinHash values first, 64 to a word, and
     #: confirmed where they differ in no more than a pair at the limit does, four standard deviations included.
-    fine_words: int = 8
+    fine_words: int = 32
     seed: int = 5
 
     @property
@@ -357,8 +357,11 @@ def crowd_pairs(crowds: DataFrame, roots: DataFrame, fine: DataFrame, s: Setting
 
     The region's main component stays out on one side, so a region that is
     linked up already makes no pairs, however large it is.  Both sides are dealt
-    into blocks, and each block of one meets each of the other by itself.  With
-    ``first`` only the ``crowd_first`` nearest of each class.
+    into blocks, and each block of one meets each of the other by itself.  Where
+    ``fine`` has the classes' regions by tree, a pair counts in the first tree
+    that has it in one region, and in no other: it was tested there, or is linked.  With
+    ``first`` only the nearest of each class in each block, and of those the
+    ``crowd_first`` nearest.
     """
     rows, sums = crowd_members(crowds, roots)
     blocks = lambda n: F.ceil(n / s.crowd_block).cast("int")
@@ -366,20 +369,24 @@ def crowd_pairs(crowds: DataFrame, roots: DataFrame, fine: DataFrame, s: Setting
     held = materialize(rows.join(sums, "region").join(fine, "set_key"), "open-crowds")
     own = lambda n: F.pmod(F.xxhash64("set_key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["set_key", "root", "main", "bits"]
+    if "regions" not in fine.columns:
+        held = held.withColumn("regions", F.array(F.lit(0).cast("long")))
+    columns = ["set_key", "root", "main", "tree", "bits", "regions"]
     few = held.where("root != main").select("region", own("p").alias("i"), every("q").alias("j"), F.lit(0).alias("side"), *columns)
     rest = held.select("region", every("p").alias("i"), own("q").alias("j"), F.lit(1).alias("side"), *columns)
     met = few.union(rest).repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "side", "set_key")
 
     def compare(x: tuple, y: tuple) -> Iterator[tuple[bytes, bytes, int]]:
-        y_key, y_root, main, y_bits = y
+        y_key, y_root, main, tree, y_bits, y_regions = y
         names: dict[bytes, int] = {}
         roots = np.array([names.setdefault(r, len(names)) for r in y_root])  # numpy would cut zeros off the end of bytes
-        for key, root, bits in zip(x[0], x[1], x[3]):
+        for key, root, bits, regions in zip(x[0], x[1], x[4], x[5]):
             differ = np.bitwise_count(bits[None] ^ y_bits).sum(1)
-            at = [i for i in np.flatnonzero((differ <= s.fine_limit) & (roots != names.get(root, -1))).tolist() if y_root[i] == main[i] or key < y_key[i]]
+            near = np.flatnonzero((differ <= s.fine_limit) & (roots != names.get(root, -1)))
+            near = near[(y_regions[near] == regions).argmax(1) == tree[0]]
+            at = [i for i in near.tolist() if y_root[i] == main[i] or key < y_key[i]]
             if first:
-                at = sorted(at, key=lambda i: (differ[i], y_key[i]))[: s.crowd_first]
+                at = sorted(at, key=lambda i: (differ[i], y_key[i]))[:1]
             for i in at:
                 yield key, y_key[i], int(differ[i])
 
@@ -387,14 +394,14 @@ def crowd_pairs(crowds: DataFrame, roots: DataFrame, fine: DataFrame, s: Setting
         def groups() -> Iterator[tuple[tuple, list]]:
             place, sides = None, None
             for batch in batches:
-                plain = [batch.column(i).to_pylist() for i in range(7)]
-                bits = batch.column(7).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
-                for k, (region, i, j, side, key, root, main) in enumerate(zip(*plain)):
+                plain = [batch.column(i).to_pylist() for i in range(8)]
+                bits, regions = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for i in (8, 9))
+                for k, (region, i, j, side, key, root, main, tree) in enumerate(zip(*plain)):
                     if (region, i, j) != place:
                         if place is not None:
                             yield sides
-                        place, sides = (region, i, j), (([], [], [], []), ([], [], [], []))
-                    for held, value in zip(sides[side], (key, root, main, bits[k])):
+                        place, sides = (region, i, j), [[[] for _ in range(6)] for _ in range(2)]
+                    for held, value in zip(sides[side], (key, root, main, tree, bits[k].view(np.uint64), regions[k])):
                         held.append(value)
             if place is not None:
                 yield sides
@@ -405,7 +412,7 @@ def crowd_pairs(crowds: DataFrame, roots: DataFrame, fine: DataFrame, s: Setting
         pairs: list = []
         for x, y in groups():
             if x[0] and y[0]:
-                for pair in compare(x, (*y[:3], np.stack(y[3]))):
+                for pair in compare(x, (*y[:4], np.stack(y[4]), np.stack(y[5]))):
                     pairs.append(pair)
                     if len(pairs) >= 20_000:
                         yield out(pairs)
@@ -439,13 +446,18 @@ def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, crowds: DataFr
     extra = members.join(nodes, "set_key", "left_anti")
     sets = sets.union(materialize(full_sets(docs, extra, s), "extra-sets"))
     fine = materialize(fine_sketches(sets.join(members.select("set_key"), "set_key", "left_semi"), s), "fine")
+    twice = F.concat("signature", "signature")
+    region = lambda t: F.xxhash64(t, F.substring(twice, t * (4 * s.depth) + F.lit(1), F.lit(4 * s.depth)))
+    regions = classes.select("set_key", F.transform(F.sequence(F.lit(0), F.lit(s.trees - 1)), region).alias("regions"))
+    fine = materialize(fine.join(regions, "set_key"), "fine-regions")
     tested = close
-    for tree in range(0, s.trees, s.crowd_trees):
-        for first in (True, False):
-            found = crowd_pairs(crowds.where(F.col("tree").between(tree, tree + s.crowd_trees - 1)), roots, fine, s, first)
-            found = materialize(found.join(tested, ["a", "b"], "left_anti"), "crowd-pairs")
-            if not found.isEmpty():
-                tested = tested.union(found)
-                links = links.union(materialize(confirm(found, sets, s), "crowd-links"))
-                roots = components(links)
+    # One tree's nearest ones first: they link most of what a region holds apart, and leave few for the rest.
+    plan = [(0, 1, True), *((tree, tree + s.crowd_trees, False) for tree in range(0, s.trees, s.crowd_trees))]
+    for low, high, first in plan:
+        found = crowd_pairs(crowds.where((F.col("tree") >= low) & (F.col("tree") < high)), roots, fine, s, first)
+        found = materialize(found.join(tested, ["a", "b"], "left_anti"), "crowd-pairs")
+        if not found.isEmpty():
+            tested = tested.union(found)
+            links = links.union(materialize(confirm(found, sets, s), "crowd-links"))
+            roots = components(links)
     return roots

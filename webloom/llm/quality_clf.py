@@ -154,7 +154,8 @@ def _measured(rows: DataFrame, good: bytes, bad: bytes, level: int) -> DataFrame
             found = measure(text_bytes(batch.column(1)), good, bad, level)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(found), pa.list_(pa.float64()))], ["doc_id", "quality", "features"])
 
-    return rows.mapInArrow(lean(run), "doc_id long, quality int, features array<double>")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, quality int, features array<double>")
 
 
 def score_texts(texts: list[bytes], model: Model) -> np.ndarray:
