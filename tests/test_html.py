@@ -39,6 +39,15 @@ def test_texts():
     assert texts.rewrite_script("fetch('/a'); g('/a')", {"/a": "b"}.get, loads_only=True) == "fetch('b'); g('/a')"
 
 
+def test_css_and_script_forms():
+    text = "@IMPORT url( 'a.css' ) ; @import 'b.css' screen; x{background:URL( \"c.png\" ) url() url('d) url(e.png)}"
+    assert texts.css_urls(text) == ["a.css", "c.png", "e.png"]
+    assert texts.rewrite_css(text, {"a.css": "1", "c.png": "2"}.get) == "@import url('1'); @import 'b.css' screen; x{background:url(\"2\") url() url('d) url(e.png)}"
+    script = "a = 'it'; b=\"//h/x y\"; c='/p q'; d='img/l.png'; e='x.js'; f=':a.js'; g='.js'; h=\"don't /x.js\"; i='https://h/'"
+    assert texts.script_urls(script) == ["//h/x y", "img/l.png", "https://h/"]
+    assert texts.rewrite_script("['a/b.js','c']", {"a/b.js": "z"}.get) == "['z','c']"
+
+
 def test_rewrite_pages(spark):
     pages = spark.createDataFrame([(1, "http://h/x/", "<a href='/y#f'>y</a><img src=/i.png>"), (2, "http://h/y", None)], "page_id long, url string, html string")
     assets = spark.createDataFrame([("http://h/i.png", "h/assets/img/i.png")], "url string, local_path string")

@@ -15,6 +15,38 @@ def test_robots(spark):
     assert policy.sitemap_addresses(files).first().url == "http://h/s.xml"
 
 
+def test_robots_escapes_and_groups(spark):
+    body = "User-agent: web\nDisallow: /a%20b\nDisallow: /c+d\n\nUser-agent: webloom\nDisallow: /\n\nUser-agent: *\nDisallow: /\n"
+    rules = policy.robots_rules(spark.createDataFrame([("h", 200, body)], "host string, status int, body string"))
+    wanted = spark.createDataFrame([(f"http://h/{p}",) for p in ("a%20b/c", "a b", "ab", "c+d", "c%2Bd", "c d", "100%")], "url string")
+    assert {r.url for r in policy.may_fetch(wanted, rules, "webloom/1").collect()} == {"http://h/ab", "http://h/c d", "http://h/100%"}
+
+
+def test_pauses_block_a_host(monkeypatch):
+    from webloom.config import Settings
+    from webloom.sources import http
+
+    now = [100.0]
+    monkeypatch.setattr(http.time, "monotonic", lambda: now[0])
+    host = http.Host(Settings(max_backoff=10.0))
+    host.told(429, None)
+    assert host.until == 102.0
+    host.told(503, "7")
+    assert (host.until, host.pushes) == (107.0, 0)
+    host.told(503, "99")
+    assert host.until == 110.0
+    host.told(200, None)
+    assert host.pushes == 0 and host.wait() == 10.0
+    assert http.seconds_of("junk") is None and http.seconds_of("Thu, 01 Jan 1970 00:02:00 GMT") == 0.0
+
+
+def test_json_is_replaced(spark, tmp_path):
+    path = f"file://{tmp_path}/x.json"
+    for n in (1, 2):
+        state.write_json(spark, path, {"n": n})
+        assert state.read_json(spark, path) == {"n": n}
+
+
 def test_sitemaps(spark):
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:i="http://i"'
     index = f"<sitemapindex {ns}><sitemap><loc>http://h/b.xml</loc></sitemap><sitemap><loc>http://h/a.xml</loc></sitemap></sitemapindex>"

@@ -67,17 +67,19 @@ def robots_rules(files: DataFrame) -> DataFrame:
 def may_fetch(wanted: DataFrame, rules: DataFrame, user_agent: str) -> DataFrame:
     """The rows of ``wanted`` (url, ...) that the rules allow.
 
-    The agent is the user agent's text before the slash.  A host's group for
-    that agent counts, else its group for ``*``; in it the first rule whose
-    prefix fits decides; without one the URL is allowed.
+    The agent is the user agent's text before the slash.  A host's first group
+    for that agent counts, else its group for ``*``; in it the first rule whose
+    prefix fits decides; without one the URL is allowed.  Percent escapes of
+    rules and URLs are decoded alike.
     """
     agent = user_agent.split("/")[0].strip().lower()
     named = rules.where(F.col("allow").isNotNull()).withColumn("own", (F.col("agent") != "*") & F.lit(agent).contains(F.col("agent")))
     named = named.where("own or agent = '*'")
-    groups = named.groupBy("host").agg(F.max("own").alias("has_own"))
-    named = named.join(groups, "host").where("own = has_own").select(F.col("host").alias("__host"), "allow", "prefix", "ord")
+    groups = named.groupBy("host").agg(F.min_by("agent", F.struct((~F.col("own")).alias("general"), "ord", "agent")).alias("chosen"))
+    named = named.join(groups, "host").where("agent = chosen").select(F.col("host").alias("__host"), "allow", "prefix", "ord")
     target = F.when(urls.path(F.col("url")) == "", "/").otherwise(urls.path(F.col("url")))
     target = F.concat(target, F.when(urls.query(F.col("url")) != "", F.concat(F.lit("?"), urls.query(F.col("url")))).otherwise(""))
+    target = F.url_decode(F.replace(F.regexp_replace(target, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B")))
     keyed = wanted.select("url").distinct().select("url", urls.netloc(F.col("url")).alias("__host"), target.alias("__target"))
     hits = keyed.join(named, "__host").where(F.col("__target").startswith(F.col("prefix")))
     refused = hits.groupBy("url").agg(F.min(F.struct("ord", "allow")).alias("x")).where("not x.allow").select("url")
@@ -87,7 +89,7 @@ def may_fetch(wanted: DataFrame, rules: DataFrame, user_agent: str) -> DataFrame
 def crawl_delay(rules: DataFrame, user_agent: str) -> DataFrame:
     """(host, crawl_delay) for the agent, else for ``*``."""
     agent = user_agent.split("/")[0].strip().lower()
-    found = rules.where("crawl_delay is not null and (agent = '*' or contains('" + agent.replace("'", "") + "', agent))")
+    found = rules.where(F.col("crawl_delay").isNotNull() & ((F.col("agent") == "*") | F.lit(agent).contains(F.col("agent"))))
     return found.groupBy("host").agg(F.min_by("crawl_delay", F.struct((F.col("agent") == "*").alias("general"), "ord")).alias("crawl_delay"))
 
 

@@ -38,8 +38,12 @@ def write_json(spark: SparkSession, path: str, data: dict) -> None:
     out = fs.create(at(path + ".tmp"), True)
     out.write(bytearray(json.dumps(data, indent=2, ensure_ascii=False).encode()))
     out.close()
-    fs.delete(at(path), False)
-    fs.rename(at(path + ".tmp"), at(path))
+    # One step: there is always a whole file, the old one or the new one.
+    options = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
+    flags = spark.sparkContext._gateway.new_array(options, 1)
+    flags[0] = options.OVERWRITE
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at(path).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(at(path + ".tmp"), at(path), flags)
 
 
 def read_json(spark: SparkSession, path: str) -> dict | None:

@@ -196,13 +196,13 @@ def host_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(host.alias("host")).agg(F.count_distinct("page_id").alias("n_pages"), F.count("*").alias("n_links"), F.count_distinct(target).alias("n_targets"))
 
 
-@query(f"""WITH {ANCHORS}, m AS (SELECT DISTINCT {sql_norm("url")} AS norm FROM anchors WHERE length({sql_norm("url")}) % 2 = 0)
+@query(f"""WITH {ANCHORS}, m AS (SELECT DISTINCT {sql_norm("url")} AS norm FROM anchors)
 SELECT page_id, ref, count(*) AS n, max(CASE WHEN m.norm IS NULL THEN NULL ELSE {sql_page_path("m.norm")} END) AS target
 FROM anchors LEFT JOIN m ON m.norm = {sql_norm("anchors.url")} GROUP BY page_id, ref""")
 def link_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchors against a page map that holds the URLs of even length."""
+    """Anchors against the map of all pages that they name."""
     found = links(spark, sf_dir).withColumn("kind", F.lit("anchor"))
-    known = found.select(urls.normalize_url(F.col("url")).alias("url")).distinct().where("length(url) % 2 = 0")
+    known = found.select(urls.normalize_url(F.col("url")).alias("url")).distinct()
     known = known.select("url", urls.page_path(F.col("url"), F.col("url")).alias("local_path"))
     return rewrite.link_targets(found, known).groupBy("page_id", "ref").agg(F.count("*").alias("n"), F.max("target").alias("target"))
 
@@ -262,7 +262,7 @@ def warc_rows_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(pages.select("page_id", "url"), "url").select("page_id", "record_type", "http_line", host.alias("host"), F.length("payload").alias("n_bytes"))
 
 
-ROBOTS = "User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /tha\nDisallow: /th\nDisallow: /a\nCrawl-delay: 2\n"
+ROBOTS = "User-agent: other\nDisallow: /\n\nUser-agent: webl\nAllow: /%74ha\nDisallow: /th\nDisallow: /%61\n\nUser-agent: webloom\nDisallow: /\n\nUser-agent: *\nDisallow: /\nCrawl-delay: 2\n"
 
 
 @query(f"WITH {ANCHORS} SELECT page_id, ref, count(*) AS n FROM anchors WHERE starts_with(ref, '/tha') OR NOT (starts_with(ref, '/th') OR starts_with(ref, '/a')) GROUP BY 1, 2")
