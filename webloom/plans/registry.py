@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import urls
+from ..operators import assets as asset_ops
 from ..operators import crawl, html, policy, rewrite, state, throttle, warc_rows
 from ..sources import snapshot
 from ..storage import materialize
@@ -285,6 +286,74 @@ def cookies_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.cookies_for(pages, cookies).join(pages, "url").select("page_id", "name")
 
 
+# --- assets and responses -----------------------------------------------------
+
+DRESS = [
+    ("link", "<link rel=stylesheet href='/s/%.css'>", "/s/%.css"),
+    ("link", "<link rel=preload as=script href='/s/%.js'>", None),
+    ("src", '<img src="/i/%.png" alt=x>', "/i/%.png"),
+    ("src", "<img src='data:image/png;base64,%'>", None),
+    ("src", "<input type=image src=/i/%-in.gif>", "/i/%-in.gif"),
+    ("poster", '<video poster="/v/%.jpg"></video>', "/v/%.jpg"),
+    ("srcset", '<source srcset="/i/%-1.webp 1x, /i/%-2.webp 2x">', "/i/%-1.webp"),
+    ("srcset", "", "/i/%-2.webp"),
+    ("style_attr", "<p style=\"background:url('/b/%.png')\">", "/b/%.png"),
+    ("style", "<style>@import '/s/%-i.css'; a{b:url( /b/%-u.svg )}</style>", "/b/%-u.svg"),
+    ("style", "", "/s/%-i.css"),
+    ("script", "<script src=/s/%.mjs></script>", "/s/%.mjs"),
+    ("anchor", "<script>'<a href=\"/no/%\">'</script><!-- <img src=/no/%.png> -->", None),
+]
+
+
+@query(f"""SELECT page_id, kind, regexp_extract(url, '^[^:]+://[^/?#]*') || replace(want, '%', page_id::VARCHAR) AS url
+FROM pages, {sql_values([(k, w) for k, _, w in DRESS if w], "kind, want")}""")
+def dressed_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assets of every page, each page dressed with one of every kind."""
+    dress = F.replace(F.lit("".join(h for _, h, _ in DRESS)), F.lit("%"), F.col("page_id").cast("string"))
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.concat(dress, F.coalesce("html", F.lit(""))))
+    return html.page_references(pages).where("kind != 'anchor'").select("page_id", "kind", "url")
+
+
+RESPONSES = [
+    (1, 200, "text/html; charset=utf-8", None, 10), (2, 404, "text/html", None, 10), (3, 200, "application/xhtml+xml", "10", 10), (4, 200, "image/png", "2000", 10),
+    (5, 200, "TEXT/HTML", "x", 1024), (6, 200, "text/css", None, 1025), (7, 204, "text/plain", None, 0), (8, None, None, None, 5), (9, 399, "", "1024", 1),
+]
+
+
+def responses(spark: SparkSession) -> DataFrame:
+    rows = values(spark, RESPONSES, "id int, status int, content_type string, content_length string, n int")
+    return rows.withColumn("url", F.concat(F.lit("http://h/"), F.col("id").cast("string"))).withColumn("body", F.repeat(F.lit("x"), F.col("n")).cast("binary"))
+
+
+@query(f"SELECT id FROM {sql_values(RESPONSES, 'id, status, ct, declared, n')} WHERE status < 400 AND regexp_matches(lower(split_part(ct, ';', 1)), 'text/html|application/xhtml[+]xml')")
+def html_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.html_responses(responses(spark)).select(F.regexp_extract("url", "[0-9]+$", 0).cast("int").alias("id"))
+
+
+@query(f"SELECT id FROM {sql_values(RESPONSES, 'id, status, ct, declared, n')} WHERE status < 400 AND coalesce(TRY_CAST(declared AS BIGINT), 0) <= 1024 AND n BETWEEN 1 AND 1024")
+def accepted_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asset_ops.accepted(responses(spark), Settings(max_bytes=1024)).select("id")
+
+
+@query(r"SELECT DISTINCT 'http://' || regexp_extract(url, '^[^:]+://([^/?#]*)', 1) || '/p/' || page_id AS url FROM pages")
+def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every host has an index that names a sitemap of all its pages, itself, and a broken file."""
+    pages = table(spark, sf_dir, "pages").select("page_id", urls.netloc(F.col("url")).alias("host"))
+    root = F.concat(F.lit("http://"), F.col("host"))
+    named = lambda tag, at: F.concat(F.lit(f"<{tag}><loc> "), at, F.lit(f" </loc></{tag}>"))
+    ns = "xmlns='http://www.sitemaps.org/schemas/sitemap/0.9' xmlns:i='http://i'"
+    picture = F.lit("<url><i:image><i:loc>http://no/pic</i:loc></i:image></url>")
+    lists = pages.groupBy("host").agg(F.concat_ws("", F.collect_list(named("url", F.concat(root, F.lit("/p/"), F.col("page_id").cast("string"))))).alias("x"))
+    maps = lists.select(F.concat(root, F.lit("/map.xml")).alias("url"), F.concat(F.lit(f"<urlset {ns}>"), "x", picture, F.lit("</urlset>")).alias("body"))
+    hosts = pages.select("host").distinct()
+    inner = F.concat(*[named("sitemap", F.concat(root, F.lit(f"/{n}.xml"))) for n in ("map", "index", "broken")])
+    index = hosts.select(F.concat(root, F.lit("/index.xml")).alias("url"), F.concat(F.lit(f"<sitemapindex {ns}>"), inner, F.lit("</sitemapindex>")).alias("body"))
+    broken = hosts.select(F.concat(root, F.lit("/broken.xml")).alias("url"), F.lit("<urlset><url>").alias("body"))
+    bodies = maps.union(index).union(broken)
+    robots = hosts.select("host", F.lit(200).alias("status"), F.concat(F.lit("User-agent: *\nsitemap: "), root, F.lit("/index.xml\n")).alias("body"))
+    return policy.sitemap_pages(policy.sitemap_addresses(robots), lambda wanted: bodies.join(wanted.select("url"), "url", "left_semi"))
+
+
 # --- throttle -----------------------------------------------------------------
 
 RATE, CAPACITY = 0.001, 1.0
