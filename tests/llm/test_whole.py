@@ -42,7 +42,7 @@ def test_forest_regions():
 def test_regions_over_borders(spark):
     # Ten thousand classes in one order whose regions are larger than a task's part of it.
     rng = np.random.default_rng(2)
-    s = neardup.Settings(trees=2, depth=3, deepest=6)
+    s = neardup.Settings(trees=2, depth=3, deepest=6, floor=0.0)
     rows = [(i.to_bytes(4, "big"), i, np.concatenate([[7, 7, i % 5], rng.integers(0, 3, 3)]).astype(np.uint32).tobytes()) for i in range(3000)]
     classes = spark.createDataFrame(rows, "set_key binary, doc_id long, signature binary").repartition(8)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")

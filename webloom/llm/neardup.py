@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -188,7 +188,7 @@ PAIR, CROWD, BORDER = 0, 1, 2
 
 
 def candidates(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(a, b): pairs of classes, a < b.
+    """(a, b): pairs of classes, a < b, whose whole signatures agree enough; over borders, all.
 
     And (set_key, tree, region): the rows of larger regions at the least depth,
     and of those that a border cuts.
@@ -196,7 +196,7 @@ def candidates(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     wide = min(s.deepest, s.values)
     twice = F.concat("signature", "signature")
     trees = F.sequence(F.lit(0), F.lit(s.trees - 1))
-    order = lambda t: F.substring(twice, t * (4 * s.depth) + F.lit(1), F.lit(4 * wide))
+    order = lambda t: F.substring(twice, t * (4 * s.depth) + F.lit(1), F.lit(4 * s.values))
     rows = classes.select("set_key", F.explode(F.transform(trees, lambda t: F.struct(t.alias("tree"), order(t).alias("order")))).alias("t")).select("t.tree", "t.order", "set_key")
     rows = rows.withColumn("region", F.xxhash64("tree", F.substring("order", 1, 4 * s.depth)))
     rows = rows.repartitionByRange("tree", "order", "set_key").sortWithinPartitions("tree", "order", "set_key")
@@ -210,8 +210,8 @@ def candidates(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
         table = pa.Table.from_batches(held)
         tree, region = table.column("tree").to_numpy(), table.column("region").to_numpy()
         orders, set_keys = table.column("order").combine_chunks(), table.column("set_key").combine_chunks()
-        keys = np.frombuffer(b"".join(orders.to_pylist()), np.uint32).reshape(-1, wide)
-        n, shared = len(keys), prefix_lengths(tree, keys)
+        whole = np.frombuffer(b"".join(orders.to_pylist()), np.uint32).reshape(-1, s.values)
+        n, shared = len(whole), prefix_lengths(tree, whole[:, :wide])
 
         def out(kind: int, at: np.ndarray, a: np.ndarray, b: np.ndarray | None = None, order: bool = False) -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(a), 50_000):
@@ -226,7 +226,10 @@ def candidates(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
         a, b = forest_pairs(shared, s)
         if len(a):
             once = np.unique(a * n + b)
-            yield from out(PAIR, once, once // n, once % n)
+            for lo in range(0, len(once), 50_000):
+                a, b = np.divmod(once[lo : lo + 50_000], n)
+                close = (whole[a] == whole[b]).sum(1) >= s.floor * s.values
+                yield from out(PAIR, a[close], a[close], b[close])
         first = np.flatnonzero(shared < s.depth)
         number = np.cumsum(shared < s.depth) - 1
         large = np.diff(np.append(first, n)) > s.region
@@ -378,11 +381,12 @@ def crowd_pairs(crowds: DataFrame, roots: DataFrame, fine: DataFrame, s: Setting
 
     def compare(x: tuple, y: tuple) -> Iterator[tuple[bytes, bytes, int]]:
         y_key, y_root, main, tree, y_bits, y_regions = y
+        limit = replace(s, fine_words=y_bits.shape[1]).fine_limit
         names: dict[bytes, int] = {}
         roots = np.array([names.setdefault(r, len(names)) for r in y_root])  # numpy would cut zeros off the end of bytes
         for key, root, bits, regions in zip(x[0], x[1], x[4], x[5]):
             differ = np.bitwise_count(bits[None] ^ y_bits).sum(1)
-            near = np.flatnonzero((differ <= s.fine_limit) & (roots != names.get(root, -1)))
+            near = np.flatnonzero((differ <= limit) & (roots != names.get(root, -1)))
             near = near[(y_regions[near] == regions).argmax(1) == tree[0]]
             at = [i for i in near.tolist() if y_root[i] == main[i] or key < y_key[i]]
             if first:
@@ -427,12 +431,7 @@ def crowd_pairs(crowds: DataFrame, roots: DataFrame, fine: DataFrame, s: Setting
 
 def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, crowds: DataFrame, s: Settings) -> DataFrame:
     """(node, root): the components that confirmed candidates make."""
-    same = "1.0 * aggregate(zip_with(sa, sb, (x, y) -> int(x = y)), 0, (n, x) -> n + x)"
-    values = F.transform(F.sequence(F.lit(0), F.lit(s.values - 1)), lambda i: F.substring(F.col("signature"), i * 4 + 1, F.lit(4)))
-    signed = classes.select("set_key", values.alias("values"))
-    close = pairs.join(signed.select(F.col("set_key").alias("b"), F.col("values").alias("sb")), "b")
-    close = close.join(signed.select(F.col("set_key").alias("a"), F.col("values").alias("sa")), "a").where(F.expr(same) >= s.floor * s.values)
-    close = materialize(close.select("a", "b"), "close")
+    close = pairs
     nodes = close.select(F.col("a").alias("set_key")).union(close.select("b")).distinct()
     wanted = materialize(classes.select("set_key", "doc_id").join(nodes, "set_key", "left_semi"), "wanted")
     sets = materialize(full_sets(docs, wanted, s), "sets")
