@@ -18,3 +18,10 @@ def test_precedence(tmp_path):
     assert (s.delay, s.max_pages, s.allow_params, s.same_origin_only, s.crawl) == (1.0, 7, frozenset("ab"), False, False)
     with pytest.raises(SystemExit):
         parse(["ftp://h/", "out"])
+
+
+def test_settings_without_effect_are_refused():
+    Settings().refuse_unsupported()
+    for more in ({"render_js": True}, {"kv_backend": "sqlite"}, {"checkpoint_pages": 9}, {"warc_path": "x"}):
+        with pytest.raises(ValueError, match=next(iter(more))):
+            Settings(**more).clamped().refuse_unsupported()

@@ -1,5 +1,5 @@
 from webloom.config import Settings
-from webloom.operators import crawl, state
+from webloom.operators import crawl, export, state
 from webloom.plans import site
 from webloom.sources import snapshot
 
@@ -46,3 +46,15 @@ def test_mirror(spark, tmp_path):
     assert f"url(../img/{image.rsplit('/', 1)[1]})" in files[css] and len(files) == 4
     found = state.read_json(spark, f"file://{tmp_path}/h-manifest.json")
     assert found["pages"] == ["h/pages/index.html", "h/pages/a/index.html"] and len(found["assets"]) == 2
+    assert {k: (tmp_path / k).read_text() for k in files} == files
+
+
+def test_export(spark, tmp_path):
+    rows = [("h/a.html", "http://h/b", b"2"), ("h/a.html", "http://h/a", b"1"), ("../up", "u", b"x"), ("h/none", "n", None), (None, "p", b"y"), ("h/long", "l", b"z" * 3_000_000)]
+    files = spark.createDataFrame(rows, "local_path string, url string, body binary")
+    for _ in range(2):  # files of an earlier run are replaced
+        done = {r.local_path: r.bytes for r in export.export_files(files, str(tmp_path / "out")).collect()}
+    assert done == {"h/a.html": 1, "../up": 1, "h/none": 0, "h/long": 3_000_000}
+    kept = {str(p.relative_to(tmp_path)): p.read_bytes()[:1] for p in tmp_path.rglob("*") if p.is_file() and p.suffix != ".crc"}
+    assert kept == {"out/h/a.html": b"1", "out/_/up": b"x", "out/h/none": b"", "out/h/long": b"z"}
+    assert export.export_files(files.limit(0), str(tmp_path / "empty")).count() == 0

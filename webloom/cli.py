@@ -48,8 +48,10 @@ def main(argv: list[str] | None = None) -> None:
     from .sources import http, snapshot
 
     url, folder, s = parse(argv)
-    if s.render_js or s.warc:
-        raise SystemExit("render_js and warc are not supported here: no browser, and archives are made from tables")
+    try:
+        s.refuse_unsupported()
+    except ValueError as error:
+        raise SystemExit(str(error)) from None
     spark = SparkSession.builder.appName("webloom").getOrCreate()
     bodies = http.http_fetch(s)
     pages = lambda wanted: snapshot.html_responses(bodies(wanted))

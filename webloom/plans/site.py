@@ -11,7 +11,7 @@ from ..config import Settings
 from ..functions import urls
 from ..operators import assets as asset_ops
 from ..operators import crawl as crawl_ops
-from ..operators import html, policy, rewrite, state
+from ..operators import export, html, policy, rewrite, state
 from ..storage import materialize
 
 
@@ -44,8 +44,10 @@ def finished_files(pages: DataFrame, assets: DataFrame, page_map: DataFrame, bas
 
 
 def write_site(spark: SparkSession, folder: str, base: str, files: DataFrame, pages: DataFrame, assets: DataFrame) -> None:
-    """Parquet of all files and the manifest beside it."""
+    """The files themselves, a Parquet table of them and the manifest beside it."""
     files.write.mode("overwrite").parquet(f"{folder}/files")
+    written = export.export_files(spark.read.parquet(f"{folder}/files"), folder)
+    written.agg(F.sum("bytes")).collect()
     site = urls_root(spark, base)
     # A manifest names every file of one site in one document, as its readers expect.
     data = state.manifest(base, pages.select(F.col("local_path").alias("path"), "seq"), assets.select(F.col("local_path").alias("path"), F.xxhash64("local_path").alias("seq")))
@@ -58,6 +60,7 @@ def urls_root(spark: SparkSession, base: str) -> str:
 
 def clone_page(spark: SparkSession, url: str, fetch_pages: crawl_ops.Fetch, fetch_bodies: asset_ops.FetchBodies, folder: str, s: Settings) -> DataFrame:
     """One page with its assets; its links stay as they are."""
+    s.refuse_unsupported()
     wanted = spark.createDataFrame([(url,)], "url string")
     pages = materialize(fetch_pages(wanted).select(F.lit(0).cast("long").alias("page_id"), "url", "html"), "clone")
     found = collect_assets(pages, fetch_bodies, url, s)
@@ -82,6 +85,7 @@ def mirror_site(
 
     ``robots`` holds robots files (host, status, body).
     """
+    s.refuse_unsupported()
     rules = policy.robots_rules(robots) if robots is not None and s.respect_robots else None
     named = None
     if s.sitemap_seed and robots is not None and sitemap_fetch:
