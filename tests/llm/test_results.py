@@ -277,6 +277,25 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, 98: 98, 99: 98, 100: 98, 50: 50, 51: 50}
 
 
+def test_components_merged(spark):
+    """Links in two halves against a union-find over all: long chains, hubs, new nodes, repeats, halves without links."""
+    rng = np.random.default_rng(11)
+    chain = [(i, i + 1) for i in range(0, 40)]
+    hub = [(60, i) for i in range(61, 90)]
+    loose = [tuple(int(x) for x in rng.choice(np.arange(90, 200), 2, replace=False)) for _ in range(70)]
+    every = [(min(e), max(e)) for e in chain + hub + loose]
+    as_links = lambda rows: spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in rows], "a binary, b binary")
+    for first, second in ((every[::2], every[1::2] + every[:9]), (every, []), ([], every), (every, every[:5])):
+        roots = neardup.merged(neardup.components(as_links(first)), as_links(second))
+        got = {r.node[0]: r.root[0] for r in roots.collect()}
+        parent = {x: x for e in first + second for x in e}
+        for _ in range(len(parent)):
+            for a, b in first + second:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+        assert got == parent
+        assert roots.count() == len(parent)
+
+
 def test_repeat_words():
     rng = random.Random(5)
     for _ in range(50):

@@ -285,6 +285,13 @@ def confirm(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return joined.mapInArrow(lean(run), "a binary, b binary")
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every edge (u, v) leads from a node with no other edge to one that is no ``u``."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("ups"), F.lit(0).alias("downs")).union(edges.select("v", F.lit(0), F.lit(1)))
+    bad = ends.groupBy("node").agg(F.sum("ups").alias("ups"), F.max("downs").alias("downs")).where("ups > 1 OR ups > 0 AND downs > 0")
+    return not bad.agg(F.count("*")).first()[0]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component; nodes without a link are left out.
 
@@ -292,22 +299,30 @@ def components(links: DataFrame) -> DataFrame:
     neighbour of each node, so no node's neighbours are ever gathered.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    before = None
-    while True:
+    while not are_stars(edges):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        edges = materialize(edges, "large-star")
+        # No more rows than edges; repeats among them go at the end of the round.
+        edges = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large-star")
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        small = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(least.select("u", F.col("m").alias("v")).union(small).distinct(), "small-star")
-        # Stars are stable: every edge then leads from a node to its root.
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(edges.select(F.col("v"), F.col("v")).distinct())
+    return materialize(roots.union(edges.select(F.col("v"), F.col("v")).distinct()), "components")
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of what has made ``roots`` and of further links: those connect components, not nodes."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a != b")
+    ends = materialize(ends, "between-components")
+    if ends.isEmpty():
+        return roots
+    above = components(ends)
+    old = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    new = above.join(roots.select("node"), "node", "left_anti")
+    return materialize(old.union(new.select("node", "root")), "components")
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -435,10 +450,9 @@ def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, crowds: DataFr
     nodes = close.select(F.col("a").alias("set_key")).union(close.select("b")).distinct()
     wanted = materialize(classes.select("set_key", "doc_id").join(nodes, "set_key", "left_semi"), "wanted")
     sets = materialize(full_sets(docs, wanted, s), "sets")
-    links = materialize(confirm(close, sets, s), "links")
     # Then what large regions hold beside their main component, against all of the region: some trees
     # at a time, since what those link or test is left out of the next.
-    roots = components(links)
+    roots = components(confirm(close, sets, s))
     rows, several = crowd_members(crowds, roots)
     members = rows.join(several.select("region"), "region", "left_semi").select("set_key").distinct()
     members = materialize(classes.select("set_key", "doc_id").join(members, "set_key", "left_semi"), "crowd-members")
@@ -457,6 +471,5 @@ def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, crowds: DataFr
         found = materialize(found.join(tested, ["a", "b"], "left_anti"), "crowd-pairs")
         if not found.isEmpty():
             tested = tested.union(found)
-            links = links.union(materialize(confirm(found, sets, s), "crowd-links"))
-            roots = components(links)
+            roots = merged(roots, confirm(found, sets, s))
     return roots
