@@ -32,7 +32,6 @@ gives an empty table.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -43,10 +42,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, lean, materialize, sample_order, tune
+from .common import ARROW_ROWS, fold, lean, materialize, sample_order, tune
 
 UNKNOWN, END = 0, 1
 
+#: Bytes of texts that are encoded together.
+ENCODE_BYTES = 8_000_000
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -128,16 +130,23 @@ class Spelling:
         if not words:
             return np.empty(0)
         contexts, symbol, owner = self._steps(words)
+        steps, at = np.unique(contexts[-1] * 257 + symbol, return_inverse=True)
+        return np.bincount(owner, np.log10(self._step_p(steps))[at], len(words))
+
+    def _step_p(self, steps: np.ndarray) -> np.ndarray:
+        """p of steps (longest context * 257 + byte, ascending); shorter contexts are its first digits."""
+        longest, symbol = np.divmod(steps, 257)
         p = self.single[symbol]
-        for context, (keys, n, rows, total, kinds) in zip(contexts, self.tables):
+        for back, (keys, n, rows, total, kinds) in enumerate(self.tables, 1):
             if not len(rows):
                 continue
+            context = longest // 257 ** (ORDER - 1 - back)
             row = np.minimum(np.searchsorted(rows, context), len(rows) - 1)
             key = context * 257 + symbol
             at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             seen = np.where(keys[at] == key, n[at], 0)
             p = np.where(rows[row] == context, (seen + kinds[row] * p) / (total[row] + kinds[row]), p)
-        return np.bincount(owner, np.log10(p), len(words))
+        return p
 
 
 # --- network ------------------------------------------------------------------
@@ -670,6 +679,27 @@ def steps_of(codes: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
     return inputs, np.where(codes < symbols, codes, UNKNOWN).astype(np.int32)
 
 
+def rare_words(words: pa.Array, owner: np.ndarray, n: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, each word's place among them, and for each distinct pair of a text and a word that place and how often; where each of ``n`` texts' pairs begin, and the end."""
+    coded = words.dictionary_encode()
+    which, kinds = coded.indices.to_numpy().astype(np.int64), max(1, len(coded.dictionary))
+    pairs, times = np.unique(owner * kinds + which, return_counts=True)
+    return coded.dictionary, which, pairs % kinds, times.astype(np.int64), np.searchsorted(pairs, np.arange(n + 1) * kinds)
+
+
+def _joined(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have ``most`` bytes: each look-up of words makes the head's hash table anew."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def encode(docs: DataFrame, model: Model) -> DataFrame:
     """One pass over all texts: their codes, and what the head gives of their scores.
 
@@ -686,34 +716,32 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         n_inputs, number = known.settings.unknown_inputs, TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in _joined(batches, ENCODE_BYTES):
             n = batch.num_rows
             words, owner = words_of(batch.column(1))
             at = pc.fill_null(pc.index_in(words, value_set=known.words), -1).to_numpy()
             codes = known.codes[at]
             away = np.flatnonzero(at < 0)
-            tail = words.take(pa.array(away)).to_pylist()
-            codes[away] = [known.symbols + unknown_bucket(w, n_inputs) for w in tail]
+            rare, which, pairs, times, starts = rare_words(words.take(pa.array(away)), owner[away], n)
+            listed = rare.to_pylist()
+            codes[away] = np.array([known.symbols + unknown_bucket(w, n_inputs) for w in listed], np.uint16)[which]
             sizes = np.bincount(owner, minlength=n)
             ends = np.cumsum(sizes + 1)
             every = np.full(len(codes) + n, END, np.uint16)
             every[np.arange(len(codes)) + owner] = codes
-            edges = np.searchsorted(owner[away], np.arange(n + 1))
-            times = [Counter(tail[a:b]) for a, b in zip(edges, edges[1:])]
-            rare = [w for x in times for w in x]
-            fields = [pa.array(rare, pa.binary()), pa.array([c for x in times for c in x.values()], pa.int64()), pa.array(known.spelling.log10(rare))]
+            fields = [rare.take(pa.array(pairs)).cast(pa.binary()), pa.array(times), pa.array(known.spelling.log10(listed)[pairs])]
             columns = [
                 pa.array(np.arange(number, number + n)),
                 batch.column(0),
                 pa.array(sizes + 1),
-                pa.array(sizes - np.diff(edges) + (known.ends > 0)),
+                pa.array(sizes - np.bincount(owner[away], minlength=n) + (known.ends > 0)),
                 pa.array(np.bincount(owner, known.base[at], n) + np.log10(known.ends + known.settings.smoothing), pa.float64()),
                 pa.array(np.bincount(owner, known.spelt[at], n).astype(np.float64)),
-                pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, times)]), pa.int32()), pa.StructArray.from_arrays(fields, ["word", "times", "spelling"])),
+                pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays(fields, ["word", "times", "spelling"])),
                 pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.append(0, 2 * ends).astype(np.int64)), pa.py_buffer(every)]).cast(pa.binary()),
             ]
             number += n
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "n_known", "base", "spelt", "tail", "codes"])
+            yield from pa.Table.from_arrays(columns, ["row", "doc_id", "n_tokens", "n_known", "base", "spelt", "tail", "codes"]).to_batches(max_chunksize=ARROW_ROWS)
 
     schema = f"row long, doc_id {kind}, n_tokens long, n_known long, base double, spelt double, tail array<struct<word: binary, times: long, spelling: double>>, codes binary"
     return rows.mapInArrow(lean(run), schema)
