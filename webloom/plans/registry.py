@@ -253,14 +253,15 @@ def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT page_id, 'request' AS record_type, 'GET ' || CASE WHEN {part("url", 3)} = '' THEN '/' ELSE {part("url", 3)} END || CASE WHEN {part("url", 4)} <> '' THEN '?' || {part("url", 4)} ELSE '' END || ' HTTP/1.1' AS http_line, {part("url", 2)} AS host, 0 AS n_bytes FROM pages
 UNION ALL SELECT page_id, 'response', 'HTTP/1.1 200 OK', NULL, octet_length(encode(html)) FROM pages""")
 def warc_rows_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    responses = pages.select(
-        F.struct("page_id", "url").alias("id"), "url", F.lit("GET").alias("method"), F.lit(200).alias("status"), F.lit("OK").alias("reason"), F.encode("html", "UTF-8").alias("body"),
-        F.array().cast(warc_rows.HEADERS).alias("request_headers"), F.array().cast(warc_rows.HEADERS).alias("headers"), F.lit(None).cast("binary").alias("request_body"),
-    )
-    rows = warc_rows.request_response_rows(responses)
-    host = F.when(F.col("record_type") == "request", F.col("headers")[0]["v"])
-    return rows.join(pages.select("page_id", "url"), "url").select("page_id", "record_type", "http_line", host.alias("host"), F.length("payload").alias("n_bytes"))
+    none = F.array().cast(warc_rows.HEADERS)
+    responses = table(spark, sf_dir, "pages").select(
+        "page_id", F.col("html").isNull().alias("lost"), "url", F.lit("GET").alias("method"), F.lit(200).alias("status"), F.lit("OK").alias("reason"), F.encode("html", "UTF-8").alias("body"),
+        none.alias("request_headers"), none.alias("headers"), F.lit(None).cast("binary").alias("request_body"),
+    )
+    rows = warc_rows.request_response_rows(responses, ("page_id", "lost"))
+    asked = F.col("record_type") == "request"
+    host = F.when(asked, F.coalesce(F.get("headers", F.lit(0))["v"], urls.netloc(F.col("url"))))
+    return rows.select("page_id", "record_type", "http_line", host.alias("host"), F.when(asked | ~F.col("lost"), F.length("payload")).alias("n_bytes"))
 
 
 ROBOTS = "User-agent: other\nDisallow: /\n\nUser-agent: webl\nAllow: /%74ha\nDisallow: /th\nDisallow: /%61\n\nUser-agent: webloom\nDisallow: /\n\nUser-agent: *\nDisallow: /\nCrawl-delay: 2\n"
