@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..session import ship
 from ..storage import materialize
+from .batches import flat_map
 
 RULES = "host string, agent string, allow boolean, prefix string, ord int, crawl_delay double"
 
@@ -53,15 +54,8 @@ def parse_robots(body: str) -> list[tuple[str, bool | None, str | None, int, flo
 
 def robots_rules(files: DataFrame) -> DataFrame:
     """Rules of robots files (host, status, body); errors and empty files have none."""
-    ship(files.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(h, a, ok, p, i, d) for h, b in zip(batch["host"], batch["body"]) for a, ok, p, i, d in parse_robots(b or "")]
-            yield pd.DataFrame(rows, columns=["host", "agent", "allow", "prefix", "ord", "crawl_delay"])
-
     good = files.where((F.col("status") < 400) & (F.col("body") != ""))
-    return good.select("host", "body").mapInPandas(run, RULES)
+    return flat_map(good.select("host", "body"), lambda host, body: ((host, *r) for r in parse_robots(body)), RULES)
 
 
 def may_fetch(wanted: DataFrame, rules: DataFrame, user_agent: str) -> DataFrame:
